@@ -20,6 +20,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table that are sent to all tasks at most; larger ones are joined by a shuffle.
+SENT_ROWS = 1_000_000
+
+
+def sent(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """``df`` computed once, and marked to be broadcast if it has few rows."""
+    rows = cut(df)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label): for each end of an edge (u, v), the least id that edges lead to.
 

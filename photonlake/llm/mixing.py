@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from photonlake.llm.graph import cut, sent
 from photonlake.llm.sharding import HASH_BITS, hash52, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,10 +51,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int = ROUND
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    rows = own.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
+    rows = cut(own.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")))
     sources = targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, rounds)
-    count = docs.count()
-    each = max(-(-count // ROWS_PER_CHUNK), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = max(-(-rows.count() // ROWS_PER_CHUNK), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     at = hash52(F.concat_ws("|", text_of(F.col("doc_id")), F.col("size")))
     rows = rows.withColumn("at", at).withColumn("chunk", F.floor(F.col("at") / (2.0**HASH_BITS / each)).cast("long")).withColumn("words", F.col("size") * F.col("copies"))
     # Running sums within a source: within a chunk of its hash range, plus those of the chunks before.
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int = ROUND
     queued = rows.withColumn("within", within).join(before, F.col("source").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("to")))
     queued = queued.select("doc_id", "source", "size", "copies", "words", "at", (F.col("before") + F.col("within")).alias("upto"))
     known = sources.select(F.col("source").alias("of"), "source_size", "rank", "target")
-    queued = queued.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    queued = cut(queued.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of"))
     last = _last(queued, each, rounds)
     taken = [F.when(_key_at_most(e, last), 1).otherwise(0) for e in range(rounds)]
     repeats = sum(taken[1:], taken[0]) if last else F.lit(0)
@@ -108,6 +108,7 @@ def _last(queued: DataFrame, each: int, rounds: int) -> tuple | None:
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int = ROUNDS) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each as many times as it is repeated, some not at all."""
     found = mix(docs, weights, rounds).where("repeats > 0").select(F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("n"), F.col("repeats").alias("r")).alias("__mix"))
+    found = sent(found)
     same = docs["doc_id"].eqNullSafe(F.col("__mix.d")) & docs["source"].eqNullSafe(F.col("__mix.s")) & (n_words(docs["text"]) == F.col("__mix.n"))
     return docs.join(found, same).withColumn("__mix", F.explode(F.sequence(F.lit(1), F.col("__mix.r")))).select(*docs.columns)
 
