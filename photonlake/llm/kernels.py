@@ -36,8 +36,8 @@ class Words(NamedTuple):
     hi: np.ndarray
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Whole documents of a string column (null as empty), at most about ``limit`` bytes at a time."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 4096) -> Iterator[Chunk]:
+    """Whole documents of a string column (null as empty), about ``limit`` bytes and at most ``rows`` at a time."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
         return
@@ -47,7 +47,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     first = 0
     while first < len(column):
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), len(column))
+        last = min(max(last, first + 1), first + rows, len(column))
         yield Chunk(first, raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
 
@@ -153,19 +153,19 @@ def schema_of(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.strip().split(" ") for x in ddl.split(","))])
 
 
-def deal(keys: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows (part, keys, values): the pairs of a task, packed by the part their key falls into.
+def deal(keys: np.ndarray, values: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """Rows (part, keys, vals): the tuples of a task, packed by the part their key falls into.
 
-    A row holds thousands of pairs as two binary columns, so that an exchange moves 16 bytes a pair
-    and no row object for each.
+    A row holds thousands of tuples as two binary columns, so that an exchange moves their bytes and no
+    row object for each.  The values lie column after column.
     """
-    part = (keys >> U64(33)) % U64(parts)
-    order = np.argsort(part.astype(np.int32), kind="stable")
-    keys, values = keys[order], values[order]
-    cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=U64))
+    part = ((keys >> U64(33)) % U64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    columns = [keys[order], *(v[order] for v in values)]
     rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
     return pa.RecordBatch.from_arrays(
-        [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([keys[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([values[a:b].tobytes() for _, a, b in rows], pa.binary())],
+        [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([columns[0][a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([b"".join(c[a:b].tobytes() for c in columns[1:]) for _, a, b in rows], pa.binary())],
         names=["part", "keys", "vals"],
     )
 
@@ -173,13 +173,15 @@ def deal(keys: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
 DEALT = "part int, keys binary, vals binary"
 
 
-def unpack(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
-    """All pairs of a partition of dealt rows."""
-    found: list[list[bytes]] = [[] for _ in names]
+def unpack(batches: Iterator[pa.RecordBatch], width: int = 1) -> list[np.ndarray]:
+    """The key and the ``width`` values of all tuples of a partition of dealt rows."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, U64)] for _ in range(width + 1)]
     for batch in batches:
-        for own, name in zip(found, names, strict=True):
-            own += batch.column(name).to_pylist()
-    return [np.frombuffer(b"".join(own), U64) for own in found]
+        for key, value in zip(batch.column("keys"), batch.column("vals"), strict=True):
+            keys = np.frombuffer(key.as_buffer(), U64)
+            for own, values in zip(found, [keys, *np.frombuffer(value.as_buffer(), U64).reshape(width, len(keys))], strict=True):
+                own.append(values.copy())
+    return [np.concatenate(own) for own in found]
 
 
 def exchange(df: DataFrame, make: Callable, meet: Callable, schema: str) -> DataFrame:
