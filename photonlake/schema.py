@@ -1,0 +1,23 @@
+"""Fixed schemas of the tables; nothing is inferred."""
+
+from pyspark.sql import types as T
+
+
+def _struct(text: str) -> T.StructType:
+    return T.StructType.fromDDL(text)
+
+
+LIBRARIES = _struct("id string not null, name string not null, source_kind string not null, root_path string not null, last_scan_started_at timestamp, last_scan_finished_at timestamp, created_at timestamp, updated_at timestamp")
+FILES = _struct("library_id string not null, relative_path string not null, original_filename string not null, file_size_bytes bigint not null, file_modified_at timestamp, detected_format string")
+PHOTOS = _struct(
+    "id string not null, library_id string not null, relative_path string not null, original_filename string not null, file_size_bytes bigint not null, file_modified_at timestamp, detected_format string, state string not null, last_error string, "
+    "width int, height int, orientation int, captured_at timestamp, captured_at_source string, latitude double, longitude double, camera_make string, camera_model string, metadata_extracted_at timestamp, "
+    "sha256 string, hashed_at timestamp, phash bigint, phashed_at timestamp, sharpness_score double, exposure_score double, contrast_score double, resolution_score double, quality_score double, raw_laplacian_variance double, mean_luminance double, "
+    "shadow_clipping double, highlight_clipping double, quality_flags array<string> not null, quality_analyzed_at timestamp, thumbnailed_at timestamp, thumbnail_width int, thumbnail_height int, thumbnail_bytes int, created_at timestamp"
+)
+DUPLICATE_GROUPS = _struct("id string, library_id string, sha256 string, photo_count bigint, total_bytes bigint, reclaimable_bytes bigint, suggested_keep_photo_id string")
+SIMILAR_GROUPS = _struct("id string, library_id string, photo_count bigint, threshold int, max_distance int, reclaimable_bytes bigint, suggested_keep_photo_id string")
+CLUSTERS = _struct("id string, library_id string, photo_count bigint, started_at timestamp, ended_at timestamp, max_gap_seconds double, max_radius_meters double, anchor_latitude double, anchor_longitude double, max_distance_meters double, located_count bigint, filesystem_dated_count bigint")
+JOBS = _struct("id bigint, job_type string, target_type string, target_id string, library_id string, status string, priority int, attempt_count int, max_attempts int, next_attempt_at timestamp, leased_by string, lease_expires_at timestamp, last_error string, created_at timestamp, completed_at timestamp")
+EXECUTIONS = _struct("id bigint, job_id bigint, worker_id string, attempt int, started_at timestamp, finished_at timestamp, outcome string, error string")
+WORKERS = _struct("id string, hostname string, status string, slots int, started_at timestamp, last_heartbeat_at timestamp")
