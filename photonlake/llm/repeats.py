@@ -84,12 +84,20 @@ def anchors(hashes: np.ndarray, found: Words, whole: np.ndarray) -> tuple[np.nda
     owner = np.repeat(np.arange(len(found.lo)), found.hi - found.lo)
     anchor = whole[at].copy() if len(at) else np.zeros(0, U64)
     open_ = np.arange(len(at))
+    factor = 0x9E3779B97F4A7C15
+    powers, inverse = np.full(len(hashes) + 1, factor, U64), np.full(len(hashes) + 1, pow(factor, -1, 1 << 64), U64)
+    powers[0] = inverse[0] = 1
+    powers, inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
+    upto = np.concatenate([np.zeros(1, U64), np.cumsum(mix(hashes) * powers[:-1], dtype=U64)])
     for level, (name, low, high) in reversed(list(enumerate(parse(hashes, owner), 1))):
         if not len(open_) or not len(name):
             continue
         first = np.minimum(np.searchsorted(low, at[open_]), len(low) - 1)
         good = (low[first] >= at[open_]) & (high[first] <= at[open_] + WINDOW)
-        anchor[open_[good]] = mix(name[first[good]] + U64(level))
+        chosen = first[good]
+        # The words of the context, which lie in the window too, make the anchor rarer than the symbol alone.
+        context = (upto[high[chosen]] - upto[low[chosen]]) * inverse[low[chosen]]
+        anchor[open_[good]] = mix(mix(name[chosen] + U64(level)) ^ context)
         open_ = open_[~good]
     return at, doc, anchor
 
@@ -242,11 +250,10 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     return found.repartition(parts, "part").mapInArrow(rows, "h1 long, doc_id long, at binary")
 
 
-TEXTS = "doc_id long,text string,h1 long,anchors binary"
-
-
-def _meant(rows: DataFrame) -> DataFrame:
-    """The rows whose text has the hash h1: a doc_id may come with several texts."""
+def _with_text(docs: DataFrame, rows: DataFrame, values: str) -> DataFrame:
+    """(doc_id, text, h1, values) of rows (doc_id, h1, values): the texts whose words have the hash h1, for a
+    doc_id may come with several.  Texts that no row asks for are left out before the shuffle.
+    """
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -255,7 +262,8 @@ def _meant(rows: DataFrame) -> DataFrame:
             keep = np.concatenate(own) == batch.column("h1").to_numpy(zero_copy_only=False) if own else np.zeros(0, bool)
             yield batch.filter(pa.array(keep))
 
-    return rows.select("doc_id", "text", "h1", "anchors").mapInArrow(choose, TEXTS)
+    asked = docs.join(sent(rows.select("doc_id").distinct()), "doc_id", "left_semi")
+    return asked.join(rows, "doc_id").select("doc_id", "text", "h1", values).mapInArrow(choose, f"doc_id long, text string, h1 long, {values} binary")
 
 
 CUTS = "h1 long,doc_id long,n_removed long,kept_sha256 string,ranges string"
@@ -295,9 +303,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     first = rows.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("n_words", "h1", "h2").agg(F.min("doc_id").alias("first"))
     first = cut(first)
     asked = cut(first.select(F.col("first").alias("doc_id"), "h1").join(shared_anchors(docs), "h1"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sent(asked.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = cut(_meant(own.join(asked, "doc_id")))
-    found = remove(texts.join(repeated_windows(texts), ["h1", "doc_id"]))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    late = cut(repeated_windows(_with_text(own, asked, "anchors")))
+    found = remove(_with_text(own, late, "at"))
     found = found.select("h1", "doc_id", "n_removed", F.col("kept_sha256").alias("left"), "ranges").dropDuplicates(["h1", "doc_id"])
     all_ = rows.join(first, ["n_words", "h1", "h2"], "left").join(found, ["h1", "doc_id"], "left")
     copy = F.col("doc_id") > F.col("first")
