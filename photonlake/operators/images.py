@@ -298,5 +298,5 @@ def metadata(files: DataFrame, key: str = "path") -> DataFrame:
 
 
 def pictures(spark: SparkSession, root: str) -> DataFrame:
-    """(path, image) of the files below a folder, decoded; a file that can't be decoded has a height of -1."""
-    return spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,jpe,png,JPG,JPEG,JPE,PNG}").load(root).select(F.col("image.origin").alias("path"), "image")
+    """(path, image) of the files below a folder, decoded, with paths as binaryFile gives them; what can't be decoded has a height of -1."""
+    return spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,jpe,png,JPG,JPEG,JPE,PNG}").load(root).select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), "image")

@@ -22,9 +22,14 @@ class Analysis(NamedTuple):
     cluster_members: DataFrame
 
 
-def photos(spark: SparkSession, root: str, library_id: str = "library") -> DataFrame:
-    """One row per supported file with all features; each is null where it couldn't be measured, never 0."""
+def photos(spark: SparkSession, root: str, library_id: str = "library", entries: DataFrame | None = None) -> DataFrame:
+    """One row per supported file with all features; each is null where it couldn't be measured, never 0.
+
+    Spark's listing follows links; with the ``entries`` of a walk, only files found there count.
+    """
     listed = scan.listing(spark, root, library_id).select("library_id", "relative_path", "path")
+    if entries is not None:
+        listed = listed.join(scan.found(entries).select("relative_path"), "relative_path", "left_semi")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).join(listed.select("path"), "path", "left_semi")
     hashes = scan.content_features(files).select("path", "sha256", "file_size_bytes")
     meta = images.metadata(files)
@@ -42,9 +47,9 @@ def photos(spark: SparkSession, root: str, library_id: str = "library") -> DataF
     ).drop("path")
 
 
-def run(spark: SparkSession, root: str, library_id: str = "library", threshold: int = 0, gap_seconds: float = 0, radius_metres: float = 0) -> Analysis:
+def run(spark: SparkSession, root: str, library_id: str = "library", threshold: int = 0, gap_seconds: float = 0, radius_metres: float = 0, entries: DataFrame | None = None) -> Analysis:
     """Everything about the photos of a folder; running it again gives the same rows."""
-    rows = materialise(photos(spark, root, library_id))
+    rows = materialise(photos(spark, root, library_id, entries))
     dup = duplicates.groups(rows)
     sim, sim_members = similar.groups(similar.candidates(rows), threshold)
     placed = materialise(events.members(rows.where("state not in ('missing', 'failed')"), gap_seconds, radius_metres))

@@ -3,8 +3,13 @@
 from pyspark.sql import types as T
 
 
+KINDS = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType(), False)}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from "name kind [not null], ...", without a session."""
+    fields = [field.strip().split(" ", 2) for field in text.split(",")]
+    return T.StructType([T.StructField(f[0], KINDS[f[1]], len(f) < 3) for f in fields])
 
 
 LIBRARIES = _struct("id string not null, name string not null, source_kind string not null, root_path string not null, last_scan_started_at timestamp, last_scan_finished_at timestamp, created_at timestamp, updated_at timestamp")
@@ -21,3 +26,4 @@ CLUSTERS = _struct("id string, library_id string, photo_count bigint, started_at
 JOBS = _struct("id bigint, job_type string, target_type string, target_id string, library_id string, status string, priority int, attempt_count int, max_attempts int, next_attempt_at timestamp, leased_by string, lease_expires_at timestamp, last_error string, created_at timestamp, completed_at timestamp")
 EXECUTIONS = _struct("id bigint, job_id bigint, worker_id string, attempt int, started_at timestamp, finished_at timestamp, outcome string, error string")
 WORKERS = _struct("id string, hostname string, status string, slots int, started_at timestamp, last_heartbeat_at timestamp")
+ENTRIES = _struct("library_id string, relative_path string, original_filename string, file_size_bytes bigint, file_modified_at timestamp, outcome string")

@@ -8,12 +8,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from photonlake.config import MAX_FILE_BYTES
 from photonlake.functions.columns import format_of
-
-ENTRIES = T.StructType.fromDDL("library_id string, relative_path string, original_filename string, file_size_bytes bigint, file_modified_at timestamp, outcome string")
+from photonlake.schema import ENTRIES
 
 
 def resolve_within(root: str, target: str) -> Path:
