@@ -19,16 +19,16 @@ from photonlake.llm.folds import drawn, held_out
 from photonlake.llm.kernels import Chunk, chunks, is_space, lower_table, schema_of, spread, words
 
 #: Learned from about so many documents of each label (all where there are fewer), of at most so many characters.
-SAMPLE_PER_LABEL = 1500
+SAMPLE_PER_LABEL = 1000
 SAMPLE_CHARS = 12_000
 #: Lengths of n-grams in bytes, the word's two edges included; hashed vectors and their length.
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 DIM = 8
 #: N-grams get a vector if their documents differ so much between labels, by the log-likelihood ratio, or
-#: if they are in such a share of documents; rarer ones would only be learned by heart.
+#: if they are in such a share (and number) of documents; rarer ones would only be learned by heart.
 MIN_RATIO = 20.0
-COMMON = 0.01
+COMMON, COMMON_LEAST = 0.01, 40
 EPOCHS = 24
 #: Epochs at which windows of toxic documents are labelled anew.
 RELABEL = (10, 16, 20)
@@ -115,9 +115,8 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     vocabulary: dict[bytes, int] = {}
     piece_words: list[np.ndarray] = []
     piece_docs: list[int] = []
-    spread_of: list[int] = []
-    spread_docs: list[int] = []
-    spread_sizes: list[int] = []
+    spread_of: list[np.ndarray] = []
+    spread_docs: list[np.ndarray] = []
     lower = lower_table()
     for chunk in chunks(column):
         found = words(chunk)
@@ -125,16 +124,17 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
         for i, (a, b) in enumerate(zip(found.lo, found.hi, strict=True)):
             if hold[chunk.first + i]:
                 continue
-            ids = np.array([vocabulary.setdefault(data[s:e], len(vocabulary)) for s, e in zip(found.starts[a:b], found.ends[a:b], strict=True)], np.int64)
-            own = np.unique(ids).tolist()
-            spread_of += own
-            spread_docs.append(chunk.first + i)
-            spread_sizes.append(len(own))
+            ids = np.array([vocabulary.setdefault(data[s:e], len(vocabulary)) for s, e in zip(found.starts[a:b].tolist(), found.ends[a:b].tolist(), strict=True)], np.int32)
+            own = np.unique(ids)
+            spread_of.append(own)
+            spread_docs.append(np.full(len(own), chunk.first + i, np.int32))
             for at in range(0, len(ids), WINDOW):
                 if labels[chunk.first + i] or at % (WINDOW * CLEAN_SHARE) == 0:
                     piece_words.append(ids[at : at + WINDOW])
                     piece_docs.append(chunk.first + i)
-    token_docs = (np.array(spread_of, np.int64), np.repeat(np.array(spread_docs, np.int64), spread_sizes))
+    if not vocabulary:
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0)
+    token_docs = (np.concatenate(spread_of), np.concatenate(spread_docs))
     bucket, bias = _vectors(vocabulary, token_docs, piece_words, np.array(piece_docs, np.int64), labels)
     tops = np.full(len(texts), -np.inf)
     for chunk in chunks(column):
@@ -145,25 +145,21 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
 
 def _vectors(vocabulary: dict[bytes, int], token_docs: tuple[np.ndarray, np.ndarray], pieces: list[np.ndarray], docs: np.ndarray, doc_labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Joint descent (Adam) on n-gram vectors and softmax; returns each bucket's part of the log odds."""
-    if not pieces:
+    what, bounds = _subwords(vocabulary)
+    total = np.diff(bounds)
+    evidence, telling = _evidence(what, bounds, token_docs, doc_labels)
+    doubt = np.add.reduceat(evidence[what], bounds[:-1]) / np.maximum(total, 1)
+    good = telling[what]
+    if not good.any():
         return np.zeros(BUCKETS), 0.0
-    text = b" ".join(vocabulary)
-    buckets, valid, begins, _, _ = grams(Chunk(0, np.frombuffer(text, np.uint8), np.array([0, len(text)])))
-    where = np.concatenate([np.flatnonzero(good) for good in valid])
-    what = np.concatenate([own[good] for own, good in zip(buckets, valid, strict=True)])
-    owner = np.searchsorted(begins, where, "right") - 1
-    total = np.bincount(owner, minlength=len(begins))
-    evidence, telling = _evidence(what, owner, token_docs, doc_labels)
-    kept_what, kept_owner = what[telling[what]], owner[telling[what]]
-    if not len(kept_what):
-        return np.zeros(BUCKETS), 0.0
-    used, slot = np.unique(kept_what, return_inverse=True)
-    by_word = np.argsort(kept_owner, kind="stable")
-    slot_of, word_of = slot[by_word], kept_owner[by_word]
+    word_of = np.repeat(np.arange(len(total), dtype=np.int32), total)[good]
+    used, slot_of = np.unique(what[good], return_inverse=True)
+    del what, good
     share = (1 / np.maximum(total, 1)).astype(np.float32)[:, None]
     by_slot = np.argsort(slot_of, kind="stable")
     slot_first = np.searchsorted(slot_of[by_slot], np.arange(len(used)))
     word_by_slot = word_of[by_slot]
+    del by_slot
 
     flat = np.concatenate(pieces)
     sizes = np.array([len(p) for p in pieces])
@@ -171,16 +167,16 @@ def _vectors(vocabulary: dict[bytes, int], token_docs: tuple[np.ndarray, np.ndar
     piece = np.repeat(np.arange(len(pieces)), sizes)
     piece_first = np.cumsum(sizes) - sizes
     by_token = np.argsort(flat, kind="stable")
-    token_first = np.searchsorted(flat[by_token], np.arange(len(begins)))
+    token_first = np.searchsorted(flat[by_token], np.arange(len(total)))
     piece_by_token = piece[by_token]
 
     # The evidence of a window is that of its strongest word, unless clean documents have the word too; within
     # a document, only windows near the top count.
     clean = doc_labels[token_docs[1]] == 0
-    seen = [np.bincount(token_docs[0][own], minlength=len(begins)) for own in (clean, ~clean)]
+    seen = [np.bincount(token_docs[0][own], minlength=len(total)) for own in (clean, ~clean)]
     chance = seen[0] * max((doc_labels > 0).sum(), 1) / max((doc_labels == 0).sum(), 1)
-    excess = np.maximum(seen[1] - chance, 0) / np.maximum(seen[1] + chance, 1)
-    strong = np.maximum.reduceat((excess * np.bincount(owner, weights=evidence[what], minlength=len(begins)) / np.maximum(total, 1))[flat], piece_first)
+    excess = (np.maximum(seen[1] - chance, 0) / np.maximum(seen[1] + chance, 1)) ** 4
+    strong = np.maximum.reduceat((excess * doubt)[flat], piece_first)
     peak = np.full(len(doc_labels), -np.inf)
     np.maximum.at(peak, docs, strong)
     labels = np.where(strong >= 0.5 * peak[docs], doc_labels[docs], 0.0)
@@ -190,7 +186,7 @@ def _vectors(vocabulary: dict[bytes, int], token_docs: tuple[np.ndarray, np.ndar
     bias = np.log(np.array([1 - labels.mean(), labels.mean()]) + 1e-6).astype(np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, top, bias)]
     for t in range(1, EPOCHS + 1):
-        word = _sums(vectors[slot_of], word_of, len(begins)) * share
+        word = _sums(vectors[slot_of], word_of, len(total)) * share
         mean = np.add.reduceat(word[flat], piece_first) / width
         logits = mean @ top + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
@@ -213,11 +209,17 @@ def _vectors(vocabulary: dict[bytes, int], token_docs: tuple[np.ndarray, np.ndar
     return out, float(bias[1] - bias[0])
 
 
-def _evidence(what: np.ndarray, owner: np.ndarray, token_docs: tuple[np.ndarray, np.ndarray], doc_labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _subwords(vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words' n-grams, word after word, and where each word's begin, with the end."""
+    text = b" ".join(vocabulary)
+    buckets, valid, begins, _, _ = grams(Chunk(0, np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+    owner = np.concatenate([(np.searchsorted(begins, np.flatnonzero(good), "right") - 1).astype(np.int32) for good in valid])
+    what = np.concatenate([own[good] for own, good in zip(buckets, valid, strict=True)])
+    return what[np.argsort(owner, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(begins)))])
+
+
+def _evidence(what: np.ndarray, bounds: np.ndarray, token_docs: tuple[np.ndarray, np.ndarray], doc_labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each bucket, its log-likelihood ratio if toxic documents outnumber what clean ones suggest (else 0), and whether it is telling."""
-    by_word = np.argsort(owner, kind="stable")
-    what = what[by_word]
-    bounds = np.searchsorted(owner[by_word], np.arange(int(owner.max()) + 2))
     counts = np.zeros((2, BUCKETS))
     cuts = np.flatnonzero(np.concatenate([[True], token_docs[1][1:] != token_docs[1][:-1], [True]]))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -228,7 +230,7 @@ def _evidence(what: np.ndarray, owner: np.ndarray, token_docs: tuple[np.ndarray,
     share = np.clip((doc_labels[seen] > 0).mean(), 1e-6, 1 - 1e-6)
     expected = np.maximum(counts.sum(0) * np.array([[1 - share], [share]]), 1e-9)
     ratio = 2 * (counts * np.log(np.maximum(counts, 1e-9) / expected)).sum(0)
-    return np.where(counts[1] > expected[1], ratio, 0), (ratio >= MIN_RATIO) | (counts.sum(0) >= COMMON * len(seen))
+    return np.where(counts[1] > expected[1], ratio, 0).astype(np.float32), (ratio >= MIN_RATIO) | (counts.sum(0) >= max(COMMON * len(seen), COMMON_LEAST))
 
 
 def _sums(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
