@@ -167,7 +167,7 @@ def _vectors(vocabulary: dict[bytes, int], token_docs: tuple[np.ndarray, np.ndar
     piece = np.repeat(np.arange(len(pieces)), sizes)
     piece_first = np.cumsum(sizes) - sizes
     by_token = np.argsort(flat, kind="stable")
-    token_first = np.searchsorted(flat[by_token], np.arange(len(total)))
+    token = flat[by_token]
     piece_by_token = piece[by_token]
 
     # The evidence of a window is that of its strongest word, unless clean documents have the word too; within
@@ -197,7 +197,7 @@ def _vectors(vocabulary: dict[bytes, int], token_docs: tuple[np.ndarray, np.ndar
             labels = np.where((labels > 0) & (p[:, 1] < np.minimum(0.5, peak[docs])), 0.0, labels)
         gap = ((p - np.stack([1 - labels, labels], 1)) / len(sizes)).astype(np.float32)
         back = (gap @ top.T) / width
-        word_back = np.add.reduceat(back[piece_by_token], token_first) * share
+        word_back = _sums(back[piece_by_token], token, len(total)) * share
         own = [np.add.reduceat(word_back[word_by_slot], slot_first) + 1e-8 * vectors, mean.T @ gap, gap.sum(0)]
         for value, grad, (m, v) in zip((vectors, top, bias), own, state, strict=True):
             m += 0.1 * (grad - m)
