@@ -448,7 +448,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """select o_orderkey, case when s < 60 then printf('%ds', s) when s < 3600 then printf('%dm', s // 60) when s < 86400 then printf('%dh%02dm', s // 3600, s // 60 % 60) else printf('%dd%02dh', s // 86400, s // 3600 % 24) end as span,
 case when b < 1024 then printf('%d B', b) when b < 1048576 then printf('%.1f KB', b / 1024.0::double) when b < 1073741824 then printf('%.1f MB', b / 1048576.0::double) else printf('%.1f GB', b / 1073741824.0::double) end as bytes,
 case when o_custkey * 2 < 1000 then printf('%.0fm', o_custkey * 2.0::double) else printf('%.1fkm', o_custkey * 2.0::double / 1000) end as metres,
-length(o_orderpriority || '/' || o_orderstatus) - length(replace(o_orderpriority || '/' || o_orderstatus, '/', ''))::int as depth, o_orderpriority || ':' || o_custkey as dedupe_key
+(length(o_orderpriority || '/' || o_orderstatus) - length(replace(o_orderpriority || '/' || o_orderstatus, '/', '')))::int as depth, o_orderpriority || ':' || o_custkey as dedupe_key
 from (select *, o_orderkey * 37 % 200000 as s, o_orderkey * 1000003 % 9000000000 as b from orders)""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
