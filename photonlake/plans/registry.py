@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.functions import columns as C
+from photonlake.functions import display as D
 from photonlake.operators import duplicates, events, images, ledger, search, similar
 from photonlake.operators.search import Query
 from photonlake.sources import tables as t
@@ -324,11 +325,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 3))
 
 
-@query("rescan_inserts", _photos() + "select library_id, relative_path from photos where photo_id % 5 = 0 union select library_id, 'new/' || photo_id || '.jpg' from photos where photo_id % 7 = 0 except select library_id, relative_path from photos")
+@query("rescan_inserts", _photos() + "select library_id, relative_path from photos union select library_id, 'new/' || photo_id || '.jpg' from photos except select library_id, relative_path from photos")
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = t.photos(spark, d)
-    seen = p.where("photo_id % 5 = 0").select("library_id", "relative_path")
-    fresh = p.where("photo_id % 7 = 0").select("library_id", F.concat(F.lit("new/"), F.col("photo_id"), F.lit(".jpg")).alias("relative_path"))
+    seen = p.select("library_id", "relative_path")
+    fresh = p.select("library_id", F.concat(F.lit("new/"), F.col("photo_id"), F.lit(".jpg")).alias("relative_path"))
     return search.new_files(seen.union(fresh), p.select("library_id", "relative_path"))
 
 
@@ -367,9 +368,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ledger.recoveries(t.jobs(spark, d), t.executions(spark, d), 3)
 
 
-@query("job_enqueue_dedupe", _JOBS + "select distinct o_orderpriority as job_type, o_custkey as target_id from orders where o_orderkey % 4 = 1 except select job_type, target_id from jobs where status in ('pending', 'running')")
+@query("job_enqueue_dedupe", _JOBS + "select distinct o_orderpriority as job_type, o_custkey as target_id from orders except select job_type, target_id from jobs where status in ('pending', 'running')")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    wanted = t.table(spark, d, "orders").where("o_orderkey % 4 = 1").select(F.col("o_orderpriority").alias("job_type"), F.col("o_custkey").alias("target_id"))
+    wanted = t.table(spark, d, "orders").select(F.col("o_orderpriority").alias("job_type"), F.col("o_custkey").alias("target_id"))
     return ledger.enqueue(t.jobs(spark, d), wanted)
 
 
@@ -459,6 +460,31 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_FIXED = "printf('%.1f', case when ({x}) * 4 % 1 = 0 then floor(({x}) * 10 + 0.5) / 10 else {x} end)"
+_UNIT = "case when b / {u}.0::double < 100 then " + _FIXED.format(x="b / {u}.0::double") + " else floor(b / {u}.0::double + 0.5)::bigint::varchar end || ' {n}'"
+
+
+@query(
+    "display_shown",
+    f"""select o_orderkey, case when b is null or b < 0 then '\u2014' when b < 1024 then b || ' B' when b < 1048576 then {_UNIT.format(u=1024, n="KB")} when b < 1073741824 then {_UNIT.format(u=1048576, n="MB")} else {_UNIT.format(u=1073741824, n="GB")} end as bytes,
+case when m is null then '\u2014' when m < 1000 then floor(m + 0.5)::bigint || ' m' else {_FIXED.format(x="m / 1000")} || ' km' end as metres,
+case when mins < 1 then 'under a minute' when mins < 60 then mins || ' min' when mins < 1440 then case when mins % 60 > 0 then mins // 60 || ' h ' || mins % 60 || ' min' else mins // 60 || ' h' end else mins // 1440 || ' d ' || mins // 60 % 24 || ' h' end as span,
+case when o_orderkey % 4 = 0 then '\u2014' else strftime(o_orderdate, '%-d %b %Y, %H:%M') end as taken, format('{{:,}}', o_custkey) || case when o_custkey = 1 then ' order' else ' orders' end as counted,
+case when length(p) <= 12 then p else '...' || right(p, 9) end as short_path, case when length(p) <= 12 then p else left(p, 9) || '...' end as short_text, upper(left(q, 1)) || substr(q, 2) as flag, p_last as name
+from (select *, case when o_orderkey % 6 = 0 then null else o_orderkey * 1000003 % 9000000000 end as b, case when o_orderkey % 5 = 0 then null else o_custkey * 2.5::double end as m, (o_orderkey * 37 % 200000 + 30) // 60 as mins,
+  o_orderpriority || '/' || o_orderstatus as p, replace('possibly_' || lower(o_orderstatus), '_', ' ') as q, o_orderstatus as p_last from orders)""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    o = t.table(spark, d, "orders")
+    path = F.concat_ws("/", "o_orderpriority", "o_orderstatus")
+    return o.select(
+        "o_orderkey", D.size_text(F.when(i % 6 != 0, i * 1000003 % F.lit(9000000000))).alias("bytes"), D.distance_text(F.when(i % 5 != 0, F.col("o_custkey") * 2.5)).alias("metres"), D.span_text(i * 37 % 200000).alias("span"),
+        D.time_text(F.when(i % 4 != 0, F.col("o_orderdate"))).alias("taken"), D.counted(F.col("o_custkey"), "order").alias("counted"), D.shorten_path(path, 12).alias("short_path"), D.shorten(path, 12).alias("short_text"),
+        D.flag_text(F.concat(F.lit("possibly_"), F.lower("o_orderstatus"))).alias("flag"), D.library_name(path).alias("name"),
+    )
+
+
 @query("scan_states", "select o_orderkey, case when o_orderkey % 5 = 0 then 'never_scanned' when o_orderkey % 3 = 0 or o_orderkey % 7 = 1 then 'scanning' else 'complete' end as state from orders")
 def _(spark: SparkSession, d: str) -> DataFrame:
     i, day = F.col("o_orderkey"), F.col("o_orderdate")
