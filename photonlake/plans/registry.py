@@ -496,5 +496,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Perceptual hash and quality of small grey pictures made of the embeddings: pixels, so not for SQL."""
     pixels = F.transform("embedding", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), 127.5 + 60 * x)).cast("int"))
-    rows = t.table(spark, d, "embeddings").select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), pixels.alias("grey"))
+    # Small rows, long work: dealt to all cores, whatever the files' layout.
+    rows = t.table(spark, d, "embeddings").repartition(spark.sparkContext.defaultParallelism).select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), pixels.alias("grey"))
     return images.measured(images.from_grey(rows, "vec_id"), "vec_id")
