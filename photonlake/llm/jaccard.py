@@ -7,8 +7,8 @@ The top of the index is a directory that loses no pair and needs no all-pairs wo
 into classes of size such that linked ones are in the same or the next class.  If at most D shingles
 differ between linked sets, then of more than D groups one at least is equal in both: its content,
 hashed, is a key.  Documents that meet under a key are candidates; what candidates connect is a region,
-and only in a region are points compared.  There, packed R-trees discard pairs by the bound, and the
-sets of the others are intersected.
+and only in a region are points compared.  There, packed R-trees find the pairs within the bound; what
+those connect is a smaller region, to which the texts are brought, and the sets are intersected.
 """
 
 from __future__ import annotations
@@ -128,26 +128,32 @@ def candidate_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return exchange(docs.select("text"), make, meet, "u long, v long")
 
 
-IDENTITY = "doc_id long,n_shingles long,h1 long,h2 long,set_class long"
+IDENTITY = "doc_id long,n_shingles long,h1 long,h2 long,set_class long,point binary"
 
 
 def identities(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, set_class): the size and hashes of each row's set."""
+    """(doc_id, n_shingles, h1, h2, set_class, point): the size, hashes and group counts of each row's set."""
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, lower = Hasher(), lower_table()
         for batch in batches:
-            rows = np.zeros((len(batch), 4), U64)
+            rows, points = np.zeros((len(batch), 4), U64), [b""] * len(batch)
             for chunk in chunks(batch.column("text")):
                 for i, found in enumerate(shingles(chunk, hasher, lower, k), chunk.first):
                     if len(found):
                         h1, h2 = identity(found)
                         rows[i] = len(found), h1, h2, _class(len(found), h1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(signed(rows[:, c].copy())) for c in range(4))], schema=schema_of(IDENTITY))
+                        points[i] = point_of(found).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(signed(rows[:, c].copy())) for c in range(4)), pa.array(points, pa.binary())], schema=schema_of(IDENTITY))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(identify, IDENTITY)
 
 
+def point_of(found: np.ndarray) -> np.ndarray:
+    """The counts of a set's COORDINATES groups."""
+    return np.bincount((found >> U64(7)).astype(np.int64) & (COORDINATES - 1), minlength=COORDINATES).astype(np.int32)
+
+
 class CountTree:
     """A packed R-tree of points: leaves of LEAF points in the order of their sums, with the box of each."""
 
@@ -179,15 +185,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+def forest(points: np.ndarray, sets: list[np.ndarray] | None, side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Links that connect what all links connect, of sets of one side with each other, or of side 0 with side 1.
 
-    Pairs that earlier links connect aren't checked again.
+    Without sets, all pairs within the bound of their points count.  Pairs that earlier links connect
+    aren't checked again.
     """
-    points = np.zeros((len(sets), COORDINATES), np.int32)
-    for i, own in enumerate(sets):
-        points[i] = np.bincount((own >> U64(7)).astype(np.int64) & (COORDINATES - 1), minlength=COORDINATES)
-    root = np.arange(len(sets))
+    root = np.arange(len(points))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -196,23 +200,26 @@ def forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[t
         return int(i)
 
     across = side.any()
-    where = np.flatnonzero(side == 1) if across else np.arange(len(sets))
+    where = np.flatnonzero(side == 1) if across else np.arange(len(points))
     asking = np.flatnonzero(side == 0)
     if not len(where) or not len(asking):
         return
     tree = CountTree(points[where])
     for i in asking:
         for j in where[tree.near(points[i], percent)]:
-            if (across or j > i) and find(i) != find(j) and linked(sets[i], sets[j], percent):
+            if (across or j > i) and find(i) != find(j) and (sets is None or linked(sets[i], sets[j], percent)):
                 yield int(i), int(j)
                 root[find(j)] = find(i)
 
 
-def region_links(spark: SparkSession, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(u, v): links between the members (doc_id, set_class, n_shingles, region), compared region by region.
+UNIT = ["region", "la", "ca", "lb", "cb"]
+
+
+def units(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` (doc_id, n_shingles, region, ...) for each unit of work they take part in, with their side in it.
 
     A region of more than BLOCK members is cut by size class and hash into cells; each pair of cells in
-    the same class or in neighbouring ones is a unit of work.
+    the same class or in neighbouring ones is a unit.
     """
     edges = F.array(*(F.lit(int(e)) for e in Sizes(percent).edges if e < 1 << 40))
     sized = members.withColumn("level", F.size(F.filter(edges, lambda e: e <= F.col("n_shingles"))))
@@ -223,32 +230,75 @@ def region_links(spark: SparkSession, members: DataFrame, docs: DataFrame, k: in
     plan = counts.join(whole, "region").withColumn("cells", cells)
     for name, step in (("below", -1), ("above", 1)):
         plan = plan.join(beside.select("region", (F.col("l") - step).alias("level"), F.col("c").alias(name)), ["region", "level"], "left")
-    placed = sized.join(plan, ["region", "level"]).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.col("cells")))
+    # A row for each region and class; sent where they are few, so that a large region isn't dealt by its key.
+    placed = sized.join(sent(plan), ["region", "level"]).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.col("cells")))
     unit = lambda la, ca, lb, cb, side: F.struct(la.cast("int").alias("la"), ca.cast("long").alias("ca"), lb.cast("int").alias("lb"), cb.cast("long").alias("cb"), F.lit(side).alias("side"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
     level, cell = F.col("level"), F.col("cell")
     same = F.transform(upto(F.col("cells")), lambda c: F.when(c < cell, unit(level, c, level, cell, 1)).otherwise(unit(level, cell, level, c, 0)))
     down = F.transform(upto(F.coalesce("below", F.lit(0))), lambda c: unit(level - 1, c, level, cell, 1))
     up = F.transform(upto(F.coalesce("above", F.lit(0))), lambda c: unit(level, cell, level + 1, c, 0))
-    units = F.when(F.col("all") <= BLOCK, F.array(unit(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0), 0))).otherwise(F.concat(same, down, up))
-    work = placed.select("doc_id", "set_class", "region", F.explode(units).alias("unit")).select("doc_id", "set_class", "region", "unit.*")
-    # A unit of one member has nothing to compare.
+    chosen = F.when(F.col("all") <= BLOCK, F.array(unit(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0), 0))).otherwise(F.concat(same, down, up))
+    return placed.select(*members.columns, F.explode(chosen).alias("unit")).select(*members.columns, "unit.*")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession) * 2, *UNIT).sortWithinPartitions(*UNIT, "doc_id")
+
+
+def _edges(ids: list[int], links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["u", "v"])
+
+
+def _sides(unit: tuple, sides: list[int]) -> np.ndarray:
+    return np.array(sides, np.int8) if unit[1:3] != unit[3:5] else np.zeros(len(sides), np.int8)
+
+
+def near_regions(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` whose point is within the bound of another's of their region; regions become what the bound connects.
+
+    Only points are moved here, so that a text is moved with those it may really be linked with.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, points, sides = None, [], [], []
+
+        def close() -> pa.RecordBatch:
+            return _edges(ids, list(forest(np.stack(points), None, _sides(now, sides), percent)))
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*UNIT, "doc_id", "point", "side")]
+            for *unit, doc, point, side in zip(*columns, strict=True):
+                if tuple(unit) != now:
+                    if len(ids) > 1:
+                        yield close()
+                    now, ids, points, sides = tuple(unit), [], [], []
+                ids.append(doc)
+                points.append(np.frombuffer(point, np.int32))
+                sides.append(side)
+        if len(ids) > 1:
+            yield close()
+
+    rows = _dealt(units(members, percent).select("doc_id", "point", *UNIT, "side"))
+    found = components(rows.mapInArrow(compare, "u long, v long"))
+    return members.drop("region", "point").join(found.select(F.col("id").alias("doc_id"), F.col("label").alias("region")), "doc_id")
+
+
+def region_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v): links between the members (doc_id, set_class, n_shingles, region), compared region by region."""
+    work = units(members, percent).select("doc_id", "set_class", *UNIT, "side")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sent(members.select("doc_id")), "doc_id", "left_semi")
-    rows = texts.join(work, "doc_id").select("doc_id", "text", "set_class", "region", "la", "ca", "lb", "cb", "side")
-    order = ["region", "la", "ca", "lb", "cb"]
-    dealt = rows.repartition(partitions(spark) * 2, *order).sortWithinPartitions(*order, "doc_id")
+    dealt = _dealt(texts.join(work, "doc_id").select("doc_id", "text", "set_class", *UNIT, "side"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, lower = Hasher(), lower_table()
         now, ids, sets, sides, known = None, [], [], [], set()
 
         def close() -> pa.RecordBatch:
-            side = np.array(sides, np.int8) if now is not None and now[1:3] != now[3:5] else np.zeros(len(sets), np.int8)
-            links = list(forest(sets, side, percent)) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["u", "v"])
+            return _edges(ids, list(forest(np.stack([point_of(x) for x in sets]), sets, _sides(now, sides), percent)))
 
         for batch in batches:
-            unit_of = list(zip(*(batch.column(c).to_pylist() for c in order), strict=True))
+            unit_of = list(zip(*(batch.column(c).to_pylist() for c in UNIT), strict=True))
             doc, own, side = (batch.column(c).to_pylist() for c in ("doc_id", "set_class", "side"))
             for chunk in chunks(batch.column("text")):
                 for i, found in enumerate(shingles(chunk, hasher, lower, k), chunk.first):
@@ -276,14 +326,14 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     no component; repeated rows get equal answers; other columns change nothing; an empty table gives an
     empty result.
     """
-    spark = docs.sparkSession
     rows = cut(identities(docs, k))
-    one = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2", "set_class").agg(F.min("doc_id").alias("first"))
+    one = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2", "set_class").agg(F.min("doc_id").alias("first"), F.first("point").alias("point"))
     one = cut(one)
     regions = components(candidate_edges(docs, k, percent))
     members = one.join(regions.select(F.col("id").alias("set_class"), F.col("label").alias("region")), "set_class")
-    members = cut(members.select(F.col("first").alias("doc_id"), "set_class", "n_shingles", "region"))
-    links = components(region_links(spark, members, docs, k, percent))
+    members = cut(members.select(F.col("first").alias("doc_id"), "set_class", "n_shingles", "region", "point"))
+    members = cut(near_regions(members, percent))
+    links = components(region_links(members, docs, k, percent))
     named = one.join(links, F.col("first") == F.col("id"), "left").select("n_shingles", "h1", "h2", F.coalesce("label", "first").alias("found"))
     joined = rows.join(named, ["n_shingles", "h1", "h2"], "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
