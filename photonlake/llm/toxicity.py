@@ -267,14 +267,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     counts = dict(marks.groupBy("toxic").count().collect())
     chosen = drawn(marks, "toxic", "doc_id", SAMPLE_PER_LABEL)
     short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    rows = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()  # about two times SAMPLE_PER_LABEL rows
-    rows = rows.sort_values(["doc_id", "text"], kind="stable").drop_duplicates(["text", "toxic"])
-    y = (rows["toxic"].to_numpy() > 0).astype(float)
-    if not len(y) or y.min() == y.max():
-        return None
-    of = {label: counts.get(label, 1) for label in counts}
-    weight = np.array([of[t] / max((rows["toxic"] == t).sum(), 1) for t in rows["toxic"]])
-    return train(rows["text"].tolist(), y, weight / weight.mean())
+    of = dict(counts)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            for x in batch.to_pylist():
+                key = x["text"], x["toxic"]
+                least[key] = min(least.get(key, x["doc_id"]), x["doc_id"])
+        rows = sorted(least.items(), key=lambda x: (x[1], x[0]))
+        y = np.array([float(toxic > 0) for (_, toxic), _ in rows])
+        if len(y) and y.min() < y.max():
+            drawn_of = {toxic: sum(t == toxic for (_, t), _ in rows) for toxic in of}
+            weight = np.array([of[toxic] / drawn_of[toxic] for (_, toxic), _ in rows])
+            model = train([text for (text, _), _ in rows], y, weight / weight.mean())
+            yield pa.RecordBatch.from_arrays([pa.array([model.bucket.tobytes()], pa.binary()), *(pa.array([x]) for x in model[1:])], names=list(Model._fields))
+
+    # About two times SAMPLE_PER_LABEL rows, fitted by one task, so that the driver keeps nothing but the model.
+    sample = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1)
+    found = sample.mapInArrow(fit, "bucket binary, bias double, slope double, shift double").first()
+    return found and Model(np.frombuffer(bytes(found["bucket"]), np.float32), *found[1:])
 
 
 def probabilities(texts: pa.Array, model: Model | None) -> np.ndarray:
