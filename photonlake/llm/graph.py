@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +12,17 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that the cluster names in spark.checkpoint.dir, and read from there.
 
-    Where that is unset, as in local tests, a temporary folder serves.
+    Where that is unset, as in local tests, a temporary folder serves.  A table is written rather than a
+    checkpoint taken: its size is known when it is read, while the estimates that checkpoints carry along
+    multiply with every join of a loop until planning takes all the time and memory of the driver.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(own)
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir().rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows of a narrow table that are sent to all tasks at most; larger ones are joined by a shuffle.
