@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder of the cluster (a temporary one where none is set) and go on from there."""
+    """Write ``df`` to the checkpoint folder of the cluster (a temporary one where none is set) and go on from there.
+
+    A table, not a checkpoint: the estimates that checkpoints carry along multiply with every join of a loop.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="photonlake-"))
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected(edges: DataFrame) -> DataFrame:
