@@ -35,22 +35,33 @@ def sent(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, label): for each end of an edge (u, v), the least id that edges lead to.
 
-    Each round takes the least label among neighbours, then the label of that label, so chains shrink
-    by a factor each round.  Joins are on ids that are unique on one side, and minima are combined
-    before they are shuffled, so a node with very many edges doesn't gather in one task.
+    Each round hooks every node onto its least neighbour if that is smaller, takes the label of the label
+    until nothing changes, and leaves the edges between the trees that this makes, by their roots.  Roots
+    are least among their neighbours; those still there after a second round are as many as the nodes hooked
+    in the first at most.  So two rounds halve the nodes whatever the order of ids, and the loop ends when no
+    edge is left.  Joins are on ids that are unique on one side, and minima are combined before they are
+    shuffled, so a node with very many edges doesn't gather in one task.
     """
     both = edges.select("u", "v").where("u <> v")
     both = cut(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label")).select("id", F.least("id", "label").alias("label")))
-    for _ in range(rounds):
-        near = both.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("u")).select("id", F.least("label", "near").alias("to"), F.col("label").alias("was"))
-        roots = labels.select(F.col("id").alias("to"), F.col("label").alias("root"))
-        moved = cut(step.join(roots, "to").select("id", F.least("to", "root").alias("label"), "was"))
-        labels = moved.select("id", "label")
-        if moved.where("label <> was").isEmpty():
+    labels = None
+    while True:
+        trees = cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label")).select("id", F.least("id", "label").alias("label")))
+        while True:
+            roots = trees.select(F.col("id").alias("to"), F.col("label").alias("root"))
+            moved = cut(trees.withColumnRenamed("label", "to").join(roots, "to").select("id", F.col("root").alias("label"), F.col("to").alias("was")))
+            trees = moved.select("id", "label")
+            if moved.where("label <> was").isEmpty():
+                break
+        if labels is None:
+            labels = trees
+        else:
+            roots = trees.select(F.col("id").alias("to"), F.col("label").alias("root"))
+            labels = cut(labels.join(roots, F.col("label") == F.col("to"), "left").select("id", F.coalesce("root", "label").alias("label")))
+        ends = both.join(trees.select(F.col("id").alias("u"), F.col("label").alias("a")), "u").join(trees.select(F.col("id").alias("v"), F.col("label").alias("b")), "v")
+        both = cut(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        if both.isEmpty():
             return labels
-    raise RuntimeError(f"labels still change after {rounds} rounds")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from photonlake.llm import jaccard, kernels, quality, repeats
+from photonlake.llm import graph, jaccard, kernels, quality, repeats
 from tests.llm.conftest import SCHEMA, words
 
 
@@ -65,6 +65,31 @@ def test_first_of_each_keeps_one(docs, awkward):
     assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns
 
 
+def test_components_of_a_chain_in_any_order(spark):
+    rng = random.Random(4)
+    for n, rows in ((2000, 1), (600, 3)):
+        ids = list(range(n))
+        rng.shuffle(ids)
+        links = [(ids[i], ids[i + 1]) for i in range(n - 1) if rows == 1 or i % 200 != 199]
+        want = {x: min(ids[lo : lo + n // rows]) for lo in range(0, n, n // rows) for x in ids[lo : lo + n // rows]}
+        got = graph.components(spark.createDataFrame(links * 2 + [(7, 7), (None, 3)], "u long, v long")).collect()
+        assert len(got) == n and {r["id"]: r["label"] for r in got} == want
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_long_chain_of_documents_is_one_component(spark):
+    rng = random.Random(6)
+    own, texts = [f"w{i}" for i in range(100)], []
+    for d in range(400):
+        own[d * 37 % 100] = f"n{d}"
+        texts.append(" ".join(own))
+    ids = list(range(400))
+    rng.shuffle(ids)
+    got = jaccard.join_components(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)], SCHEMA)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(list(zip(ids, texts, strict=True)), 3, 90)
+    assert {r["component_id"] for r in got} == {0}
+
+
 def test_keys_of_linked_sets_meet():
     rng = np.random.default_rng(3)
     sizes = jaccard.Sizes()
