@@ -2,11 +2,14 @@
 
 A mask names the positions of SPAN consecutive tokens that are hashed; the others may differ.  The two
 MASKS together hit every stretch of WINDOW tokens in which at most ALLOWED are substituted, whichever
-they are (a test tries all of them).  Hits of test items in documents are verified on their diagonal.
+they are (a test tries all of them).  Items of fewer than WINDOW tokens have masks of their own, one set
+for each length, which hit every copy of the whole item with at most ``allowed`` substitutions.  Hits of test items in documents are verified on their diagonal.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ SPAN = 8
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
 WINDOW = 13
 ALLOWED = 2
+#: An item allows a substitution for so many tokens that it has, and ALLOWED at most.
+TOKENS_EACH = 4
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -34,6 +39,46 @@ def _seeds(hashes: Column) -> Column:
     return F.concat(*(masked(m, mask) for m, mask in enumerate(MASKS)))
 
 
+def allowed(n: int) -> int:
+    """The substitutions that an item of n tokens may have: 2 from 8 tokens on, 1 from 4, none below."""
+    return min(ALLOWED, n // TOKENS_EACH)
+
+
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of n tokens: of twice as many blocks as are allowed to differ, each half of them.
+
+    Substitutions touch half of the blocks at most, so one mask at least has none of them.
+    """
+    differ = allowed(n)
+    if not differ:
+        return [tuple(range(n))]
+    edges = [n * b // (2 * differ) for b in range(2 * differ + 1)]
+    halves = itertools.combinations(range(2 * differ), differ)
+    return [tuple(p for b in half for p in range(edges[b], edges[b + 1])) for half in halves]
+
+
+def _short_seeds(hashes: Column, lengths: list[int], whole: bool) -> Column:
+    """(seed, place) for each mask of the lengths, at each position, or only of the length that the row has."""
+    size, found = F.size(hashes), []
+    for n in lengths:
+        fits = size == n if whole else size >= n
+        places = F.when(fits, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+        for m, mask in enumerate(short_masks(n)):
+            found.append(_placed(hashes, places, f"{n}:{m}", mask))
+    return F.concat(*found)
+
+
+def _placed(hashes: Column, places: Column, name: str, mask: tuple[int, ...]) -> Column:
+    return F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(name), *(F.get(hashes, i + p) for p in mask)).alias("seed"), i.alias("place")))
+
+
+def short_seeds(rows: DataFrame, key: str, text: str, place: str, lengths: list[int], whole: bool) -> DataFrame:
+    """(key, seed, place) for items of the lengths: of ``whole`` rows that are such items, or of texts that may hold them."""
+    hashed = rows.select(key, F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("__h"))
+    spread = hashed.select(key, F.explode(_short_seeds(F.col("__h"), lengths, whole)).alias("__s"))
+    return spread.select(key, "__s.seed", F.col("__s.place").alias(place))
+
+
 def seeds(rows: DataFrame, key: str, text: str, place: str) -> DataFrame:
     """(key, seed, place): every seed of every row, with the position of its first token."""
     hashed = rows.select(key, F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("__h"))
@@ -44,20 +89,25 @@ def seeds(rows: DataFrame, key: str, text: str, place: str) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, compared, best, start): the documents that hold a part of a test item.
 
-    A pair is found if, along some alignment, a stretch of WINDOW tokens of the item (all of them, if it
-    has fewer) differs from the document in at most ALLOWED.  ``best`` is the greatest number of equal
+    A pair is found if, along some alignment, a stretch of WINDOW tokens of the item differs from the document
+    in at most ALLOWED; of an item that has fewer, all tokens count and ``allowed`` of them may differ.  ``best`` is the greatest number of equal
     tokens of such a stretch, ``matched`` and ``compared`` those of the whole alignment, ``start`` the
     item's first token in the document (negative where the document begins within the item).  Of several
     alignments the one with most equal tokens counts, then the first.
 
-    Items of fewer than SPAN tokens are no evidence and match nothing; null and empty texts have no
+    Items of one to three tokens are found where they stand exactly; null and empty texts have no
     tokens; a null id is an id; repeated rows give one result; other columns change nothing.
     """
     docs = docs.select("doc_id", "text")
     items = benchmark.select("item_id", F.col("text").alias("item")).distinct()
-    test = seeds(items, "item_id", "item", "j").distinct()
-    hits = seeds(docs, "doc_id", "text", "i").join(sent(test), "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("start")).distinct()
-    hits = cut(hits)
+    size = F.size(tokens(F.col("item")))
+    test = seeds(items.where(size >= WINDOW), "item_id", "item", "j").distinct()
+    hits = seeds(docs, "doc_id", "text", "i").join(sent(test), "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("start"))
+    lengths = sorted(r["n"] for r in items.select(size.alias("n")).where((F.col("n") > 0) & (F.col("n") < WINDOW)).distinct().collect())  # WINDOW - 1 rows at most
+    if lengths:
+        test = short_seeds(items, "item_id", "item", "j", lengths, True).distinct()
+        hits = hits.union(short_seeds(docs, "doc_id", "text", "i", lengths, False).join(sent(test), "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("start")))
+    hits = cut(hits.distinct())
     ids = hits.select(F.col("doc_id").alias("id")).distinct()
     own = docs.join(sent(ids), docs["doc_id"].eqNullSafe(F.col("id")), "left_semi").distinct().select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("w"))
     words = items.select(F.col("item_id").alias("of"), tokens(F.col("item")).alias("t"))
@@ -67,7 +117,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     along = pairs.where(last > first).select("doc_id", "item_id", "start", F.transform(F.sequence(first, last - 1), lambda j: F.when(F.get("t", j) == F.get("w", j + F.col("start")), 1).otherwise(0)).alias("same"), F.least(F.lit(WINDOW), F.size("t")).alias("width"))
     run = F.when(F.size("same") >= F.col("width"), F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("width") + 1), lambda s: _total(F.slice("same", s, F.col("width")))))).otherwise(0)
     scored = along.select("doc_id", "item_id", "start", _total(F.col("same")).cast("long").alias("matched"), F.size("same").cast("long").alias("compared"), run.cast("long").alias("best"), "width")
-    good = scored.where(F.col("best") >= F.col("width") - ALLOWED)
+    good = scored.where(F.col("best") >= F.col("width") - F.least(F.lit(ALLOWED), F.floor(F.col("width") / TOKENS_EACH)))
     top = F.max(F.struct("matched", (-F.col("start")).cast("long").alias("early"), "compared", "best")).alias("top")
     return good.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", "top.matched", "top.compared", "top.best", (-F.col("top.early")).alias("start"))
 

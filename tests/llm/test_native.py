@@ -88,6 +88,30 @@ def test_masks_hit_every_pattern_of_substitutions():
             assert any(not {at + p for p in mask} & set(gone) for mask in decontaminate.MASKS for at in range(n - decontaminate.SPAN + 1)), gone
 
 
+def test_masks_of_short_items_hit_every_pattern_of_substitutions():
+    for n in range(1, decontaminate.WINDOW):
+        masks = decontaminate.short_masks(n)
+        for gone in itertools.combinations(range(n), decontaminate.allowed(n)):
+            assert any(not set(mask) & set(gone) for mask in masks), (n, gone)
+    assert [decontaminate.allowed(n) for n in range(1, 14)] == [0] * 3 + [1] * 4 + [2] * 6
+
+
+def test_items_of_every_length_are_found(spark):
+    tests, rows, want = [], [], {}
+    for n in range(1, decontaminate.WINDOW + 1):
+        item = [f"t{n}x{i}" for i in range(n)]
+        tests.append((n, " ".join(item)))
+        most = decontaminate.allowed(n)
+        for k in range(min(n, most + 1) + 1):
+            for gone in itertools.combinations(range(n), k):
+                rows.append((len(rows), " ".join(["before", "it", *("qqq" if i in gone else w for i, w in enumerate(item)), "after"])))
+                if k <= most:
+                    want[rows[-1][0], n] = (n - k, n, 2)
+    rows += [(-1, " ".join(tests[9][1].split()[:7])), (-2, None), (-3, "t9x0 t9x1")]
+    got = decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(tests * 2, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["matched"], r["compared"], r["start"]) for r in got} == want and len(got) == len(want)
+
+
 def test_overlaps(spark, docs, clashing, empty):
     rng = random.Random(2)
     item = ["".join(rng.choice("klmnop") for _ in range(5)) for _ in range(30)]
