@@ -1,6 +1,6 @@
 """Personal data: fixed formats, and identifiers that bootstrapped contexts reveal.
 
-Matches of the fixed formats are the seeds.  Words before a seed are patterns; a pattern is trusted if
+Whole matches of the fixed formats, blanks included, are the seeds.  Words before a seed are patterns; a pattern is trusted if
 most identifier-like tokens after it are known and if it mostly stands before such tokens.  Trusted
 patterns make their other tokens known, which in turn supports further patterns; Spark repeats this on
 the graph of patterns and instances until nothing is added.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,9 +29,9 @@ FOUND = "id"
 MIN_KNOWN = 3
 MIN_CONFIDENCE = 0.8
 MIN_SELECTIVE = 0.3
-ROUNDS = 5
 #: Identifier-like: so long, with a digit, of these characters only, after stripping punctuation.
 MIN_LENGTH, MAX_LENGTH = 6, 64
+SPACE = frozenset(" \t\n\x0b\x0c\r")
 EDGES = b"\"'`.,;:!?()[]{}<>"
 RESULT = "doc_id long,n_email long,n_ip long,n_card long,n_phone long,base_sha256 string,spans string"
 
@@ -119,29 +120,84 @@ def _fillers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, digits: np.
             yield cue.lower(), int(start + left), int(start + left + len(value))
 
 
-def _known(value: bytes) -> bool:
-    text = value.decode("ascii")
-    return any(a == 0 and b == len(text) for spans in base_spans(text).values() for a, b in spans)
+def _cue(text: str, start: int) -> str | None:
+    """What stands before a seed: the key that its word begins with, or else the word before; none if that is too long."""
+    at = start
+    while at > 0 and text[at - 1] not in SPACE:
+        at -= 1
+        if start - at > 2 * MAX_LENGTH:
+            return None
+    key = re.fullmatch("([A-Za-z_]+[=:])(.*)", text[at:start], re.DOTALL)
+    if key and not key[2].encode().strip(EDGES):
+        cue = key[1]
+    else:
+        while at > 0 and text[at - 1] in SPACE:
+            at -= 1
+        end = at
+        while at > 0 and text[at - 1] not in SPACE and end - at <= MAX_LENGTH:
+            at -= 1
+        cue = text[at:end]
+    raw = cue.encode()
+    return raw.lower().decode() if 0 < len(raw) <= MAX_LENGTH else None
+
+
+def _seeds(text: str) -> list[tuple[int, int]]:
+    """The spans of the fixed formats in order; of overlapping ones the first."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((s for spans in base_spans(text).values() for s in spans), key=lambda s: (s[0], -s[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
+def _in_bytes(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out, done, at = [], 0, 0
+    for a, b in spans:
+        start = at + len(text[done:a].encode())
+        at, done = start + len(text[a:b].encode()), b
+        out.append((start, at))
+    return out
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(cue, instance, seed, n): how often an identifier-like token follows a cue; seed if it is of a fixed format."""
+    """(cue, instance, seed, n): how often an identifier-like token or a seed, a whole match of a fixed format, follows a cue.
+
+    Tokens that overlap a seed are parts of it and don't count themselves.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
-            for chunk in chunks(batch.column("text")):
+            seeds: Counter = Counter()
+            texts = batch.column("text")
+            for chunk in chunks(texts):
                 own = words(chunk)
                 digits = _digits(chunk.data)
-                for lo, hi in zip(own.lo, own.hi, strict=True):
-                    if lo < hi and digits[own.ends[hi - 1]] > digits[own.starts[lo]]:
-                        base = int(own.starts[lo])
-                        view = chunk.data[base : own.ends[hi - 1]]
+                for i, (lo, hi) in enumerate(zip(own.lo, own.hi, strict=True), chunk.first):
+                    if lo == hi:
+                        continue
+                    base = int(own.starts[lo])
+                    view = chunk.data[base : own.ends[hi - 1]]
+                    numbers = digits[own.ends[hi - 1]] > digits[own.starts[lo]]
+                    if not (numbers or (view == ord("@")).any()):
+                        continue
+                    # Spans begin with the first word, as the view does.
+                    text = texts[i].as_py().lstrip("".join(SPACE))
+                    spans = _seeds(text)
+                    for a, b in spans:
+                        cue = _cue(text, a)
+                        if cue is not None:
+                            seeds[cue, text[a:b]] += 1
+                    if numbers:
+                        taken = _in_bytes(text, spans)
+                        ends = [b for _, b in taken]
                         for cue, a, b in _fillers(view, own.starts[lo:hi] - base, own.ends[lo:hi] - base, digits[base:]):
-                            found[cue.decode("utf-8", "replace"), view[a:b].tobytes()] += 1
-            keys = list(found)
+                            at = bisect_right(ends, a)
+                            if at == len(taken) or taken[at][0] >= b:
+                                found[cue.decode("utf-8", "replace"), view[a:b].tobytes().decode()] += 1
+            keys = [*seeds, *found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1].decode() for k in keys], pa.string()), pa.array([_known(k[1]) for k in keys], pa.bool_()), pa.array([found[k] for k in keys], pa.int64())],
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([True] * len(seeds) + [False] * len(found), pa.bool_()), pa.array([*seeds.values(), *found.values()], pa.int64())],
                 names=["cue", "instance", "seed", "n"],
             )
 
@@ -182,12 +238,15 @@ def totals(docs: DataFrame, cues: list[str]) -> dict[str, int]:
 
 
 def bootstrap(docs: DataFrame) -> list[str]:
-    """The trusted cues: their number is that of a lexicon, each with MIN_KNOWN different instances at least."""
+    """The trusted cues: their number is that of a lexicon, each with MIN_KNOWN different instances at least.
+
+    Rounds go on until no cue is added.
+    """
     edges = cut(contexts(docs))
     known = edges.where("seed").select("instance").distinct()
     trusted: dict[str, int] = {}
     seen: dict[str, int] = {}
-    for _ in range(ROUNDS):
+    while True:
         marked = edges.join(known.withColumn("known", F.lit(True)), "instance", "left")
         scored = marked.groupBy("cue").agg(F.count("known").alias("different"), F.sum("n").alias("n"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("good"))
         rows = scored.where((F.col("different") >= MIN_KNOWN) & (F.col("good") >= MIN_CONFIDENCE * F.col("n"))).collect()
@@ -197,11 +256,10 @@ def bootstrap(docs: DataFrame) -> list[str]:
         seen |= dict.fromkeys(keyed, 0)
         fresh = {r["cue"]: r["n"] for r in rows if r["cue"] not in trusted and r["n"] >= MIN_SELECTIVE * seen[r["cue"]]}
         if not fresh:
-            break
+            return sorted(trusted)
         trusted |= fresh
         cues = docs.sparkSession.createDataFrame([(c,) for c in sorted(trusted)], "cue string")
         known = cut(known.union(edges.join(cues, "cue").select("instance")).distinct())
-    return sorted(trusted)
 
 
 def find(docs: DataFrame, cues: list[str]) -> DataFrame:

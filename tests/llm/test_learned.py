@@ -129,3 +129,25 @@ def test_bootstrapped_identifiers(spark, docs, clashing, empty, awkward):
     assert pii.bootstrap(empty) == [] and pii.find(clashing, []).count() == len(awkward)
     for r in pii.find(docs, []).collect():
         assert r["n_email"] == 0
+
+
+def test_cues_of_seeds_with_blanks_and_without_digits(spark):
+    name = lambda i: "abcdefghij"[i]
+    rows = [(i, f"é call phone: +1 (74{i}) 555-382{i} or so") for i in range(6)]
+    rows += [(20 + i, f"  the Mailto <{name(i)}x@mail.example.org> there") for i in range(6)]
+    rows += [(30, "phone: QX1177AB and"), (31, "card=TT99887 or"), (32, "mailto ZZ12345 is"), (33, "other QY1177AB is")]
+    rows += [(50 + i, f"pay card={c} now") for i, c in enumerate(("4111 1111 1111 1111", "5500 0000 0000 0004", "5555 5555 5555 4444", "4012 8888 8888 1881"))]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    cues = pii.bootstrap(own)
+    assert cues == ["card=", "mailto", "phone:"]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(own, cues).collect()}
+    assert [got[i] for i in (30, 31, 32, 33)] == ["id:7:15", "id:5:12", "id:7:14", ""]
+    assert got[0] == "phone:14:31"
+
+
+def test_cues_are_followed_to_the_end(spark):
+    texts = [f"ca: u{i}@mail.example.org" for i in range(20)] + [f"ca: ID-a{i}77" for i in range(4)]
+    for old, new in zip("abcdefg", "bcdefgh", strict=True):
+        texts += [f"c{new}: ID-{old}{i}77" for i in range(4)] * 5 + [f"c{new}: ID-{new}{i}77" for i in range(4)]
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert pii.bootstrap(own) == [f"c{c}:" for c in "abcdefgh"]
