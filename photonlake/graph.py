@@ -1,40 +1,116 @@
-"""Lineage cuts in shared storage and connected components."""
+"""Lineage cuts in shared storage, broadcasts of checked size, and connected components."""
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a table that is sent to all tasks at most.
+SENT_BYTES = 32 << 20
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder of the cluster (a temporary one where none is set) and go on from there.
 
-    A table, not a checkpoint: the estimates that checkpoints carry along multiply with every join of a loop.
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="photonlake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, and read from there.
+
+    A table is written rather than a checkpoint taken: its size is known when it is read, while the estimates
+    that checkpoints carry along multiply with every join of a loop until planning takes all the time and
+    memory of the driver.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="photonlake-"))
-    path = f"{context.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut` wrote, when nothing that is still to run reads them."""
+    for table in tables:
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            if "/cut-" in folder:
+                _remove(table.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application cut and kept; call it when its results have been written."""
+    _remove(spark, f"{shared_folder(spark)}/cut-{spark.sparkContext.applicationId}")
+
+
+def sent(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
+    """``df`` computed once, and marked to be broadcast if its rows, as measured, take few bytes.
+
+    Beyond that it is joined by a shuffle, whose skewed partitions adaptive execution splits.
+    """
+    rows = cut(df)
+    widths = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in rows.dtypes if kind in ("string", "binary")]
+    fixed = 24 + 8 * len(rows.columns)
+    taken = rows.agg((F.count(F.lit(1)) * fixed + sum(widths, F.lit(0))).alias("bytes")).first()["bytes"]
+    return F.broadcast(rows) if taken <= most else rows
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node each node of the edges (a, b) is connected with.
+    """(node, root): for each end of an edge (a, b) that has two ends, the least node that edges lead to.
 
-    Rounds of the least neighbour's root and of pointer jumping; minima are combined before the shuffle.
+    Each round hooks every node onto its least neighbour if that is smaller, takes the root of the root
+    until nothing changes, and leaves the edges between the trees that this makes, by their roots.  Roots
+    are least among their neighbours; those still there after a second round are as many as the nodes hooked
+    in the first at most.  So two rounds halve the nodes whatever the order of ids, and the loop ends when no
+    edge is left.  Joins are on nodes that are unique on one side, and minima are combined before they are
+    shuffled, so a node with very many edges doesn't gather in one task.
     """
-    arcs = materialise(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    roots = materialise(arcs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")))
+    left = edges.select("a", "b").where("a <> b")
+    left = cut(left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = None
     while True:
-        offered = arcs.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("offer"))
-        lower = roots.join(offered, F.col("node") == F.col("a")).select("node", "root", F.least("root", "offer").alias("next"))
-        further = roots.select(F.col("node").alias("next"), F.col("root").alias("beyond"))
-        step = materialise(lower.join(further, "next").select("node", F.least("next", "beyond").alias("next"), "root"))
-        changed = not step.where("next < root").isEmpty()
-        roots = step.select("node", F.col("next").alias("root"))
-        if not changed:
+        trees = cut(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")))
+        while True:
+            above = trees.select(F.col("node").alias("to"), F.col("root").alias("top"))
+            moved = cut(trees.withColumnRenamed("root", "to").join(above, "to").select("node", F.col("top").alias("root"), F.col("to").alias("was")))
+            discard(trees)
+            trees = moved.select("node", "root")
+            if moved.where("root <> was").isEmpty():
+                break
+        above = trees.select(F.col("node").alias("to"), F.col("root").alias("top"))
+        if roots is None:
+            roots = trees
+        else:
+            lower = cut(roots.join(above, F.col("root") == F.col("to"), "left").select("node", F.coalesce("top", "root").alias("root")))
+            discard(roots)
+            roots = lower
+        ends = left.join(trees.select(F.col("node").alias("a"), F.col("root").alias("c")), "a").join(trees.select(F.col("node").alias("b"), F.col("root").alias("d")), "b")
+        fewer = cut(ends.where("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b")).distinct())
+        discard(left)
+        left = fewer
+        if left.isEmpty():
+            discard(left)
             return roots
+        if roots is not trees:
+            discard(trees)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from photonlake.config import clamp_limit, effective_threshold
 from photonlake.functions.columns import better, hamming
-from photonlake.graph import connected, materialise
+from photonlake.graph import connected, cut
 from photonlake.operators.duplicates import keep_order
 
 BANDS = 4
@@ -68,7 +68,7 @@ def groups(rows: DataFrame, threshold: int, by: tuple[str, ...] = ("library_id",
     arcs = near.join(ends[0], [*by, "hash_a"]).join(ends[1], [*by, "hash_b"]).select("a", "b")
     same = rows.join(first, [*by, "phash"]).where("photo_id <> node").select(F.col("photo_id").alias("a"), F.col("node").alias("b"))
     roots = connected(arcs.union(same))
-    own = materialise(rows.join(roots, F.col("photo_id") == F.col("node")).drop("node").withColumnRenamed("root", "group_id"))
+    own = cut(rows.join(roots, F.col("photo_id") == F.col("node")).drop("node").withColumnRenamed("root", "group_id"))
     lost = own.alias("a").join(own.alias("b"), "group_id").where("a.photo_id <> b.photo_id")
     beaten = lost.groupBy("group_id", F.col("a.photo_id").alias("photo_id")).agg(F.count_if(better("b", "a")).alias("losses"), F.max(hamming(F.col("a.phash"), F.col("b.phash"))).alias("widest"))
     ranked = own.join(beaten, ["group_id", "photo_id"])

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.graph import materialise
+from photonlake.graph import cut
 from photonlake.operators import duplicates, events, images, search, similar
 from photonlake.sources import scan
 
@@ -49,10 +49,10 @@ def photos(spark: SparkSession, root: str, library_id: str = "library", entries:
 
 def run(spark: SparkSession, root: str, library_id: str = "library", threshold: int = 0, gap_seconds: float = 0, radius_metres: float = 0, entries: DataFrame | None = None) -> Analysis:
     """Everything about the photos of a folder; running it again gives the same rows."""
-    rows = materialise(photos(spark, root, library_id, entries))
+    rows = cut(photos(spark, root, library_id, entries))
     dup = duplicates.groups(rows)
     sim, sim_members = similar.groups(similar.candidates(rows), threshold)
-    placed = materialise(events.members(rows.where("state not in ('missing', 'failed')"), gap_seconds, radius_metres))
+    placed = cut(events.members(rows.where("state not in ('missing', 'failed')"), gap_seconds, radius_metres))
     return Analysis(rows, dup, duplicates.members(rows, dup), sim, sim_members, events.clusters(placed, gap_seconds, radius_metres), placed)
 
 
