@@ -1,67 +1,14 @@
-"""Shared-storage cuts of lineage and connected components."""
+"""Connected components by the names that the training-data operators use; the rest is that of :mod:`photonlake.graph`."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the cluster names in spark.checkpoint.dir, and read from there.
-
-    Where that is unset, as in local tests, a temporary folder serves.  A table is written rather than a
-    checkpoint taken: its size is known when it is read, while the estimates that checkpoints carry along
-    multiply with every join of a loop until planning takes all the time and memory of the driver.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(own)
-    path = f"{context.getCheckpointDir().rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+from photonlake.graph import connected, cut, discard, sent
 
-#: Rows of a narrow table that are sent to all tasks at most; larger ones are joined by a shuffle.
-SENT_ROWS = 1_000_000
-
-
-def sent(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
-    """``df`` computed once, and marked to be broadcast if it has few rows."""
-    rows = cut(df)
-    return F.broadcast(rows) if rows.count() <= most else rows
+__all__ = ["components", "cut", "discard", "sent"]
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label): for each end of an edge (u, v), the least id that edges lead to.
-
-    Each round hooks every node onto its least neighbour if that is smaller, takes the label of the label
-    until nothing changes, and leaves the edges between the trees that this makes, by their roots.  Roots
-    are least among their neighbours; those still there after a second round are as many as the nodes hooked
-    in the first at most.  So two rounds halve the nodes whatever the order of ids, and the loop ends when no
-    edge is left.  Joins are on ids that are unique on one side, and minima are combined before they are
-    shuffled, so a node with very many edges doesn't gather in one task.
-    """
-    both = edges.select("u", "v").where("u <> v")
-    both = cut(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = None
-    while True:
-        trees = cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label")).select("id", F.least("id", "label").alias("label")))
-        while True:
-            roots = trees.select(F.col("id").alias("to"), F.col("label").alias("root"))
-            moved = cut(trees.withColumnRenamed("label", "to").join(roots, "to").select("id", F.col("root").alias("label"), F.col("to").alias("was")))
-            trees = moved.select("id", "label")
-            if moved.where("label <> was").isEmpty():
-                break
-        if labels is None:
-            labels = trees
-        else:
-            roots = trees.select(F.col("id").alias("to"), F.col("label").alias("root"))
-            labels = cut(labels.join(roots, F.col("label") == F.col("to"), "left").select("id", F.coalesce("root", "label").alias("label")))
-        ends = both.join(trees.select(F.col("id").alias("u"), F.col("label").alias("a")), "u").join(trees.select(F.col("id").alias("v"), F.col("label").alias("b")), "v")
-        both = cut(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-        if both.isEmpty():
-            return labels
+    """(id, label): for each end of an edge (u, v), the least id that edges lead to."""
+    return connected(edges.toDF("a", "b")).toDF("id", "label")
