@@ -65,12 +65,20 @@ def clear(spark: SparkSession) -> None:
 
 
 def sent(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
-    """``df`` computed once, and marked to be broadcast if its rows, as measured, take few bytes.
+    """``df`` computed once, and marked to be broadcast if its rows, as measured, take few bytes."""
+    return measured(cut(df), most)
+
+
+def measured(rows: DataFrame, most: int = SENT_BYTES) -> DataFrame:
+    """A table that :func:`cut` wrote, marked to be broadcast if its rows, as measured, take few bytes.
 
     Beyond that it is joined by a shuffle, whose skewed partitions adaptive execution splits.
     """
-    rows = cut(df)
-    widths = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in rows.dtypes if kind in ("string", "binary")]
+    plain = ("string", "binary")
+    texts = [F.octet_length(c) for c, kind in rows.dtypes if kind in plain]
+    # Arrays and structs by the length of their text form, which is longer than what they take for numbers.
+    nested = [F.octet_length(F.to_json(F.struct(c))) for c, kind in rows.dtypes if kind.startswith(("array", "struct"))]
+    widths = [F.coalesce(F.sum(w), F.lit(0)) for w in (*texts, *nested)]
     fixed = 24 + 8 * len(rows.columns)
     taken = rows.agg((F.count(F.lit(1)) * fixed + sum(widths, F.lit(0))).alias("bytes")).first()["bytes"]
     return F.broadcast(rows) if taken <= most else rows
