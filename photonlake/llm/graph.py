@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from photonlake.graph import connected, cut, discard, sent
+from photonlake.graph import connected, cut, discard, measured, sent
 
-__all__ = ["components", "cut", "discard", "sent"]
+__all__ = ["components", "cut", "discard", "measured", "sent"]
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,18 +1,21 @@
-"""N-gram Jaccard join by count vectors: groups of hashed shingles, an R-tree of their counts, exact checks.
+"""N-gram Jaccard join by count vectors: groups of hashed shingles, R-trees of their counts, exact checks.
 
 A document is the set of its word shingles.  Shingles are hashed into groups; the counts of the groups
 are a point, and the sum of coordinate minima of two points bounds the overlap of their sets.
 
-The top of the index is a directory that loses no pair and needs no all-pairs work.  Documents fall
-into classes of size such that linked ones are in the same or the next class.  If at most D shingles
-differ between linked sets, then of more than D groups one at least is equal in both: its content,
-hashed, is a key.  Documents that meet under a key are candidates; what candidates connect is a region,
-and only in a region are points compared.  There, packed R-trees find the pairs within the bound; what
-those connect is a smaller region, to which the texts are brought, and the sets are intersected.
+In so many dimensions the boxes of unrelated documents overlap, so one tree over all documents prunes
+little near its root.  A directory that loses no pair stands there instead.  Documents fall into classes
+of size such that linked ones are in the same or the next class.  If at most D shingles differ between
+linked sets, then of D + 1 + s groups s + 1 at least are equal in both: their contents, hashed, are keys,
+of which linked sets share so many, less those of bare groups.  A set that shares fewer keys with all
+others together is linked with none and leaves; what the keys of the others connect is a region.  Within
+a region, R-trees of points are joined level by level; what their bound connects is a smaller region, to
+which the texts are brought, and the sets of the pairs within the bound are intersected.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -21,18 +24,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.llm.graph import components, cut, sent
-from photonlake.llm.kernels import U64, Chunk, Hasher, chunks, deal, exchange, inside, lower_table, mix, partitions, schema_of, signed, unpack, windows, words
+from photonlake.llm.graph import components, cut, discard, sent
+from photonlake.llm.kernels import DEALT, U64, Chunk, Hasher, chunks, deal, lower_table, meeting, mix, partitions, schema_of, signed, spread, unpack_kinds, windows, words
+from photonlake.llm.names import unused
 
 SHINGLE = 3
 #: Linked: PERCENT of the union in common at least.
 PERCENT = 90
-#: Groups beyond D + 1, so that a few groups without a shingle needn't count as equal.
-SPARE = 2
-#: Coordinates of the points compared within a region; entries of a leaf; documents of a region compared in one task.
+#: Groups beyond D + 1: so many, and one more for each so many of D.  The more there are, the more keys linked
+#: sets share and the fewer sets a common passage keeps, at the price of more keys.
+SPARE, SPARE_EACH = 2, 4
+#: Coordinates of the points compared within a region; children of a node of a tree.
 COORDINATES = 64
-LEAF = 16
+FANOUT = 8
+#: Sets of a region compared in one task by their points, and by their texts; shingles of the latter, about.
+POINTS = 2048
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
+#: Pairs of boxes that are compared at a time, and edges that are passed on at a time.
+STEP = 1 << 15
 
 
 class Sizes:
@@ -74,58 +84,120 @@ def _class(n: int, h1: int) -> int:
     return (h1 ^ (n * 0x9E3779B97F4A7C15)) % (1 << 64)
 
 
-def keys_of(found: np.ndarray, level: int, sizes: Sizes) -> np.ndarray:
-    """The keys of a set on a level: one for the content of each group, bare groups only where they are many."""
+@functools.lru_cache(maxsize=4096)
+def _group_edges(groups: int) -> np.ndarray:
+    return (np.arange(groups + 1, dtype=object) * (1 << 64) // groups)[1:-1].astype(U64)
+
+
+def keyed(found: np.ndarray, level: int, sizes: Sizes) -> tuple[np.ndarray, int]:
+    """The keys of a set on a level, one for the content of each group, and how many of them a set that it is linked with shares.
+
+    Bare groups have a key only where they are more than the spare ones: then one key is all that is sure.
+    """
     differ = sizes.differing(level)
     if differ < 1:
-        return np.zeros(0, U64)  # linked sets are equal
-    groups = differ + 1 + SPARE
-    edges = (np.arange(groups + 1, dtype=object) * (1 << 64) // groups)[1:-1].astype(U64)
-    cuts = np.concatenate([[0], np.searchsorted(found, edges), [len(found)]])
+        return np.zeros(0, U64), 1  # linked sets are equal
+    spare = SPARE + differ // SPARE_EACH
+    groups = differ + 1 + spare
+    cuts = np.concatenate([[0], np.searchsorted(found, _group_edges(groups)), [len(found)]])
     total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(found ^ U64(0x1234567)), dtype=U64)])
     content = total[cuts[1:]] - total[cuts[:-1]]
     keys = mix(content ^ mix(np.arange(groups, dtype=U64) + U64(level << 32)))
     bare = cuts[1:] == cuts[:-1]
-    return keys if bare.sum() > SPARE else keys[~bare]
-
-
-def candidate_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(u, v): different sets, by hash, that have a key in common; each with the least set under the key."""
-
-    def make(parts: int):  # noqa: ANN202
-        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, lower, sizes = Hasher(), lower_table(), Sizes(percent)
-            for batch in batches:
-                seen: set[int] = set()
-                keys, owners = [], []
-                for chunk in chunks(batch.column("text")):
-                    for found in shingles(chunk, hasher, lower, k):
-                        own = _class(len(found), identity(found)[0]) if len(found) else 0
-                        if not len(found) or own in seen:
-                            continue
-                        seen.add(own)
-                        level = int(sizes.of(len(found)))
-                        for at in (level, level - 1) if level else (level,):
-                            keys.append(keys_of(found, at, sizes))
-                            owners.append(np.full(len(keys[-1]), own, U64))
-                if keys:
-                    yield deal(np.concatenate(keys), [np.concatenate(owners)], parts)
-
-        return emit
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners = unpack(batches)
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-        least = owners[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))] if len(keys) else owners
-        other = least != owners
-        pairs = np.unique(np.stack([least[other], owners[other]], 1), axis=0)
-        for at in range(0, len(pairs), 1 << 16):
-            part = pairs[at : at + (1 << 16)]
+    none = int(bare.sum())
+    return (keys, 1) if none > spare else (keys[~bare], 1 + spare - none)
+
+
+def keys_of(found: np.ndarray, level: int, sizes: Sizes) -> np.ndarray:
+    return keyed(found, level, sizes)[0]
+
+
+#: Bits of what goes with a key: the lower of a set's two levels, and how many keys are needed there.
+LOWER, NEED = 1 << 15, (1 << 15) - 1
+MEMBER = (U64, np.uint16)
+
+
+def _sorted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Tuples by the first two columns, each once, and whether each begins a value of the first."""
+    order = np.lexsort((columns[1], columns[0]))
+    a, b = columns[0][order], columns[1][order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    fresh = new.copy()
+    fresh[1:] |= b[1:] != b[:-1]
+    return [c[order][fresh] for c in columns], new[fresh]
+
+
+def _leaders(new: np.ndarray) -> np.ndarray:
+    """For each tuple the place of the first one with its key."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _star(keys: np.ndarray, owners: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The edges from the first owner of each key to its others, each once."""
+    least = owners[_leaders(new)]
+    return np.unique(np.stack([least[~new], owners[~new]], 1), axis=0)
+
+
+def candidate_edges(docs: DataFrame, k: int, percent: int, size: int = 0) -> DataFrame:
+    """(u, v): different sets, by hash, that are connected in their region; ``size`` is that of all sets together.
+
+    Sets that share a key in a task are found there, and one of them stands for all in the exchange: a key
+    that very many sets have is met as often as there are tasks.
+    """
+    parts = partitions(docs.sparkSession, 12 * size)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, lower, sizes = Hasher(), lower_table(), Sizes(percent)
+        for batch in batches:
+            seen: set[int] = set()
+            keys, owners, marks = [], [], []
+            for chunk in chunks(batch.column("text")):
+                for found in shingles(chunk, hasher, lower, k):
+                    own = _class(len(found), identity(found)[0]) if len(found) else 0
+                    if not len(found) or own in seen:
+                        continue
+                    seen.add(own)
+                    level = int(sizes.of(len(found)))
+                    for at in (level, level - 1) if level else (level,):
+                        got, need = keyed(found, at, sizes)
+                        keys.append(got)
+                        owners.append(np.full(len(got), own, U64))
+                        marks.append(np.full(len(got), min(need, NEED) | (LOWER if at < level else 0), np.uint16))
+            if keys:
+                (key, owner, mark), new = _sorted(np.concatenate(keys), np.concatenate(owners), np.concatenate(marks))
+                yield deal(key[new], [owner[new], mark[new]], parts)
+                many = np.bincount(_leaders(new), minlength=len(key))[_leaders(new)] > 1
+                yield deal(owner[many], [key[many], mark[many]], parts, kind=1)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (keys, owners, marks), known = unpack_kinds(batches, MEMBER, MEMBER)
+        (key, owner, mark), new = _sorted(keys, owners, marks)
+        many = np.bincount(_leaders(new), minlength=len(key))[_leaders(new)] > 1
+        yield deal(np.concatenate([owner[many], known[0]]), [np.concatenate([key[many], known[1]]), np.concatenate([mark[many], known[2]])], parts)
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        [columns] = unpack_kinds(batches, MEMBER)
+        (owner, key, mark), _ = _sorted(*columns)
+        # Counted on each level of an owner.
+        on = owner ^ mix((mark & LOWER).astype(U64))
+        _, place, count = np.unique(on, return_inverse=True, return_counts=True)
+        stay = count[place] >= (mark & NEED)
+        (key, owner), new = _sorted(key[stay], owner[stay])
+        yield deal(key[new], [owner[new]], parts)
+        edges = _star(key, owner, new)
+        yield deal(edges[:, 0].copy(), [edges[:, 1].copy()], parts, kind=1)
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (keys, owners), known = unpack_kinds(batches, (U64,), (U64,))
+        (key, owner), new = _sorted(keys, owners)
+        edges = np.unique(np.concatenate([_star(key, owner, new), np.stack(known, 1)]), axis=0)
+        for at in range(0, len(edges), STEP):
+            part = edges[at : at + STEP]
             yield pa.RecordBatch.from_arrays([pa.array(signed(part[:, 0].copy())), pa.array(signed(part[:, 1].copy()))], names=["u", "v"])
 
-    return exchange(docs.select("text"), make, meet, "u long, v long")
+    keys = meeting(docs.select("text").mapInArrow(emit, DEALT), parts).mapInArrow(shared, DEALT)
+    return meeting(meeting(keys, parts).mapInArrow(enough, DEALT), parts).mapInArrow(connect, "u long, v long")
 
 
 IDENTITY = "doc_id long,n_shingles long,h1 long,h2 long,set_class long,point binary"
@@ -155,29 +227,85 @@ def point_of(found: np.ndarray) -> np.ndarray:
 
 
 class CountTree:
-    """A packed R-tree of points: leaves of LEAF points in the order of their sums, with the box of each."""
+    """A packed R-tree of points: each node has the box of up to FANOUT nodes below, up to one root.
+
+    Points are packed by halving them at the coordinate with the greatest variance, so that near ones share
+    their nodes.  ``tested`` counts the pairs of boxes that were compared, on each level from the points up.
+    """
 
     def __init__(self, points: np.ndarray) -> None:
-        self.order = np.lexsort((*points.T[:3], points.sum(1)))
-        packed = points[self.order]
-        starts = np.arange(0, len(points), LEAF)
-        self.points = packed
-        self.low, self.high = np.minimum.reduceat(packed, starts), np.maximum.reduceat(packed, starts)
-        self.sum_low, self.sum_high = np.minimum.reduceat(packed.sum(1), starts), np.maximum.reduceat(packed.sum(1), starts)
+        self.order = self._packed(points)
+        own = points[self.order]
+        self.levels = [(own, own, own.sum(1), own.sum(1))]
+        while len(self.levels[-1][0]) > 1:
+            low, high, least, most = self.levels[-1]
+            at = np.arange(0, len(low), FANOUT)
+            self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
+        self.tested = [0] * len(self.levels)
+
+    @staticmethod
+    def _packed(points: np.ndarray) -> np.ndarray:
+        done, open_ = [], [np.arange(len(points))]
+        while open_:
+            own = open_.pop()
+            if len(own) <= FANOUT:
+                done.append(own)
+                continue
+            by = points[own]
+            order = np.argsort(by[:, by.var(0).argmax()], kind="stable")
+            # Whole nodes on the left, so that nodes of all levels begin where a half does.
+            half = FANOUT ** max(1, math.ceil(math.log(len(own), FANOUT) - 1e-9) - 1)
+            half = half * max(1, round(len(own) / half / 2))
+            open_ += [own[order[half:]], own[order[:half]]]
+        return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+    def _bounded(self, a: int, x: np.ndarray, other: CountTree, b: int, y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the nodes x of level a and y of the other's level b may hold linked sets."""
+        _, high, least, most = self.levels[a]
+        _, other_high, other_least, other_most = other.levels[b]
+        both = np.minimum(high[x], other_high[y]).sum(1)
+        total = least[x] + other_least[y]
+        return ((100 + percent) * both >= percent * total) & (100 * most[x] >= percent * other_least[y]) & (100 * other_most[y] >= percent * least[x])
+
+    def pairs(self, other: CountTree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The points i of this tree and j of the other whose overlap may reach the percentage; with itself, each pair once."""
+        same = other is self
+        if not len(self.order) or not len(other.order):
+            return
+        todo = [(len(self.levels) - 1, len(other.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while todo:
+            a, b, x, y = todo.pop()
+            if len(x) > STEP:
+                todo += [(a, b, x[at : at + STEP], y[at : at + STEP]) for at in range(0, len(x), STEP)]
+                continue
+            self.tested[a] += len(x)
+            good = self._bounded(a, x, other, b, y, percent)
+            x, y = x[good], y[good]
+            if not len(x):
+                continue
+            if a == b == 0:
+                yield self.order[x], other.order[y]
+                continue
+            # The higher side goes down, or both.
+            if a >= b:
+                x, y = self._below(a, x, y)
+            if b >= a:
+                y, x = other._below(b, y, x)
+            a, b = a - (a >= b), b - (b >= a)
+            if same:
+                keep = x <= y if a else x < y
+                x, y = x[keep], y[keep]
+            todo.append((a, b, x, y))
+
+    def _below(self, level: int, nodes: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = nodes * FANOUT
+        group, place = spread(np.minimum(first + FANOUT, len(self.levels[level - 1][0])) - first)
+        return first[group] + place, beside[group]
 
     def near(self, point: np.ndarray, percent: int) -> np.ndarray:
         """The points whose overlap with ``point``, bounded by summed minima, may reach the percentage."""
-        n = int(point.sum())
-        # overlap / (n + m - overlap) >= percent / 100, so overlap >= percent * (n + m) / (100 + percent)
-        reach = np.minimum(self.high, point).sum(1)
-        leaves = np.flatnonzero((100 + percent) * reach >= percent * (n + np.maximum(self.sum_low, -(-n * percent // 100))))
-        if not len(leaves):
-            return leaves
-        at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[at < len(self.points)]
-        both = np.minimum(self.points[at], point).sum(1)
-        total = n + self.points[at].sum(1)
-        return self.order[at[(100 + percent) * both >= percent * total]]
+        found = [j for _, j in CountTree(point[None]).pairs(self, percent)]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -185,75 +313,122 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def forest(points: np.ndarray, sets: list[np.ndarray] | None, side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Links that connect what all links connect, of sets of one side with each other, or of side 0 with side 1.
+class Sets(list):
+    """Sorted sets laid end to end."""
 
-    Without sets, all pairs within the bound of their points count.  Pairs that earlier links connect
-    aren't checked again.
-    """
-    root = np.arange(len(points))
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        super().__init__(sets)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.flat = np.concatenate(sets)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def linked(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the set is linked with each of the others."""
+        out, own = np.zeros(len(others), bool), self[i]
+        cuts = np.cumsum(self.sizes[others]) // (32 * STEP)
+        for part in np.split(np.arange(len(others)), np.flatnonzero(np.diff(cuts)) + 1):
+            sizes = self.sizes[others[part]]
+            group, place = spread(sizes)
+            values = self.flat[self.first[others[part]][group] + place]
+            at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+            both = np.add.reduceat(own[at] == values, np.cumsum(sizes) - sizes, dtype=np.int64)
+            out[part] = 100 * both >= percent * (len(own) + sizes - both)
+        return out
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return int(i)
 
+def links(points: np.ndarray, sets: Sets | None, side: np.ndarray, percent: int, every: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others): links of sets of one side with each other, or of side 0 with side 1.
+
+    All of them where ``every`` is asked for; otherwise links that connect what all links connect, and pairs
+    that earlier links connect aren't checked.  Without sets, all pairs within the bound of their points count.
+    """
+    label = np.arange(len(points))
     across = side.any()
-    where = np.flatnonzero(side == 1) if across else np.arange(len(points))
-    asking = np.flatnonzero(side == 0)
-    if not len(where) or not len(asking):
+    asking, asked = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if across else np.arange(len(points))
+    if not len(asked) or not len(asking):
         return
-    tree = CountTree(points[where])
-    for i in asking:
-        for j in where[tree.near(points[i], percent)]:
-            if (across or j > i) and find(i) != find(j) and (sets is None or linked(sets[i], sets[j], percent)):
-                yield int(i), int(j)
-                root[find(j)] = find(i)
+    tree = CountTree(points[asking])
+    for x, y in tree.pairs(CountTree(points[asked]) if across else tree, percent):
+        x, y = asking[x], asked[y]
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        cuts = np.flatnonzero(np.diff(x)) + 1
+        for i, others in zip(x[np.concatenate([[0], cuts])], np.split(y, cuts), strict=True):
+            if not every:
+                others = others[label[others] != label[i]]
+            if sets is not None and len(others):
+                others = others[sets.linked(int(i), others, percent)]
+            if not every:
+                others = others[np.unique(label[others], return_index=True)[1]]
+                label[np.isin(label, label[others])] = label[i]
+            if len(others):
+                yield int(i), others
 
 
 UNIT = ["region", "la", "ca", "lb", "cb"]
 
 
-def units(members: DataFrame, percent: int) -> DataFrame:
+def units(members: DataFrame, percent: int, most: int, shingles_most: int | None = None) -> DataFrame:
     """``members`` (doc_id, n_shingles, region, ...) for each unit of work they take part in, with their side in it.
 
-    A region of more than BLOCK members is cut by size class and hash into cells; each pair of cells in
-    the same class or in neighbouring ones is a unit.
+    A region of more than ``most`` members, or of more than so many shingles, is cut by size class and hash into
+    cells; each pair of cells in the same class or in neighbouring ones is a unit.
     """
     edges = F.array(*(F.lit(int(e)) for e in Sizes(percent).edges if e < 1 << 40))
     sized = members.withColumn("level", F.size(F.filter(edges, lambda e: e <= F.col("n_shingles"))))
-    counts = sized.groupBy("region", "level").agg(F.count(F.lit(1)).alias("n"))
+    load = F.count(F.lit(1)) / most
+    load = F.greatest(load, F.sum("n_shingles") / shingles_most) if shingles_most else load
+    counts = sized.groupBy("region", "level").agg(load.alias("n"))
     whole = counts.groupBy("region").agg(F.sum("n").alias("all"))
-    cells = F.ceil(F.col("n") / BLOCK)
+    cells = F.ceil(F.col("n"))
     beside = counts.select("region", F.col("level").alias("l"), cells.alias("c"))
     plan = counts.join(whole, "region").withColumn("cells", cells)
     for name, step in (("below", -1), ("above", 1)):
         plan = plan.join(beside.select("region", (F.col("l") - step).alias("level"), F.col("c").alias(name)), ["region", "level"], "left")
-    # A row for each region and class; sent where they are few, so that a large region isn't dealt by its key.
-    placed = sized.join(sent(plan), ["region", "level"]).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.col("cells")))
+    placed = sized.join(sent(plan), ["region", "level"]).withColumn("cell", F.pmod(F.xxhash64("set_class"), F.col("cells")))
     unit = lambda la, ca, lb, cb, side: F.struct(la.cast("int").alias("la"), ca.cast("long").alias("ca"), lb.cast("int").alias("lb"), cb.cast("long").alias("cb"), F.lit(side).alias("side"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
     level, cell = F.col("level"), F.col("cell")
     same = F.transform(upto(F.col("cells")), lambda c: F.when(c < cell, unit(level, c, level, cell, 1)).otherwise(unit(level, cell, level, c, 0)))
     down = F.transform(upto(F.coalesce("below", F.lit(0))), lambda c: unit(level - 1, c, level, cell, 1))
     up = F.transform(upto(F.coalesce("above", F.lit(0))), lambda c: unit(level, cell, level + 1, c, 0))
-    chosen = F.when(F.col("all") <= BLOCK, F.array(unit(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0), 0))).otherwise(F.concat(same, down, up))
+    chosen = F.when(F.col("all") <= 1, F.array(unit(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0), 0))).otherwise(F.concat(same, down, up))
     return placed.select(*members.columns, F.explode(chosen).alias("unit")).select(*members.columns, "unit.*")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition(partitions(rows.sparkSession) * 2, *UNIT).sortWithinPartitions(*UNIT, "doc_id")
-
-
-def _edges(ids: list[int], links: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["u", "v"])
+    return rows.repartition(partitions(rows.sparkSession) * 2, *UNIT).sortWithinPartitions(*UNIT, "set_class")
 
 
 def _sides(unit: tuple, sides: list[int]) -> np.ndarray:
     return np.array(sides, np.int8) if unit[1:3] != unit[3:5] else np.zeros(len(sides), np.int8)
 
 
+LINK = "u long,v long,more long"
+
+
+def _edges(ids: list[int], found: Iterator[tuple[int, np.ndarray]], copies: list[int] | None = None) -> pa.RecordBatch:
+    """(u, v, more) for a unit: edges that connect what is linked, and with ``copies`` how many rows each set is linked with (v null)."""
+    own, label = np.array(ids, np.int64), np.arange(len(ids))
+    u, v, more, weight = [], [], np.zeros(len(ids), np.int64), None if copies is None else np.array(copies, np.int64)
+    for i, others in found:
+        if weight is not None:
+            more[i] += weight[others].sum()
+            more[others] += weight[i]
+        others = others[label[others] != label[i]]
+        others = others[np.unique(label[others], return_index=True)[1]]
+        if len(others):
+            label[np.isin(label, label[others])] = label[i]
+            u.append(np.full(len(others), own[i]))
+            v.append(own[others])
+    with_links = np.flatnonzero(more)
+    ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([ends[0], own[with_links]])), pa.concat_arrays([pa.array(ends[1]), pa.nulls(len(with_links), pa.int64())]), pa.array(np.concatenate([np.zeros(len(ends[0]), np.int64), more[with_links]]))],
+        schema=schema_of(LINK),
+    )
+
+
 def near_regions(members: DataFrame, percent: int) -> DataFrame:
     """``members`` whose point is within the bound of another's of their region; regions become what the bound connects.
 
@@ -264,92 +439,127 @@ def near_regions(members: DataFrame, percent: int) -> DataFrame:
         now, ids, points, sides = None, [], [], []
 
         def close() -> pa.RecordBatch:
-            return _edges(ids, list(forest(np.stack(points), None, _sides(now, sides), percent)))
+            return _edges(ids, links(np.stack(points), None, _sides(now, sides), percent, False))
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*UNIT, "doc_id", "point", "side")]
-            for *unit, doc, point, side in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in (*UNIT, "set_class", "point", "side")]
+            for *unit, own, point, side in zip(*columns, strict=True):
                 if tuple(unit) != now:
                     if len(ids) > 1:
                         yield close()
                     now, ids, points, sides = tuple(unit), [], [], []
-                ids.append(doc)
+                ids.append(own)
                 points.append(np.frombuffer(point, np.int32))
                 sides.append(side)
         if len(ids) > 1:
             yield close()
 
-    rows = _dealt(units(members, percent).select("doc_id", "point", *UNIT, "side"))
-    found = components(rows.mapInArrow(compare, "u long, v long"))
-    return members.drop("region", "point").join(found.select(F.col("id").alias("doc_id"), F.col("label").alias("region")), "doc_id")
+    rows = _dealt(units(members, percent, POINTS).select("set_class", "point", *UNIT, "side"))
+    found = components(rows.mapInArrow(compare, LINK).select("u", "v"))
+    return members.drop("region", "point").join(found.select(F.col("id").alias("set_class"), F.col("label").alias("region")), "set_class")
+
 
+def region_links(members: DataFrame, docs: DataFrame, k: int, percent: int, count: bool) -> DataFrame:
+    """(u, v, more): links between the members (doc_id, set_class, n_shingles, copies, region), compared region by region.
 
-def region_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(u, v): links between the members (doc_id, set_class, n_shingles, region), compared region by region."""
-    work = units(members, percent).select("doc_id", "set_class", *UNIT, "side")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sent(members.select("doc_id")), "doc_id", "left_semi")
-    dealt = _dealt(texts.join(work, "doc_id").select("doc_id", "text", "set_class", *UNIT, "side"))
+    With ``count``, also rows without v: ``more`` rows are linked with the set u in a unit.
+    """
+    work = units(members, percent, BLOCK, BLOCK_SHINGLES).select("doc_id", "set_class", "copies", *UNIT, "side")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sent(members.select("doc_id").distinct()), "doc_id", "left_semi")
+    dealt = _dealt(texts.join(work, "doc_id").select("text", "set_class", "copies", *UNIT, "side"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, lower = Hasher(), lower_table()
-        now, ids, sets, sides, known = None, [], [], [], set()
+        now, ids, sets, sides, copies, known = None, [], [], [], [], set()
 
         def close() -> pa.RecordBatch:
-            return _edges(ids, list(forest(np.stack([point_of(x) for x in sets]), sets, _sides(now, sides), percent)))
+            points = np.stack([point_of(x) for x in sets])
+            return _edges(ids, links(points, Sets(sets), _sides(now, sides), percent, count), copies if count else None)
 
         for batch in batches:
             unit_of = list(zip(*(batch.column(c).to_pylist() for c in UNIT), strict=True))
-            doc, own, side = (batch.column(c).to_pylist() for c in ("doc_id", "set_class", "side"))
+            own, side, n = (batch.column(c).to_pylist() for c in ("set_class", "side", "copies"))
             for chunk in chunks(batch.column("text")):
                 for i, found in enumerate(shingles(chunk, hasher, lower, k), chunk.first):
                     if unit_of[i] != now:
                         if len(sets) > 1:
                             yield close()
-                        now, ids, sets, sides, known = unit_of[i], [], [], [], set()
+                        now, ids, sets, sides, copies, known = unit_of[i], [], [], [], [], set()
                     # A doc_id that comes with several texts brings only the set that is meant, once.
-                    if doc[i] not in known and len(found) and int(np.array([_class(len(found), identity(found)[0])], U64).view(np.int64)[0]) == own[i]:
-                        known.add(doc[i])
-                        ids.append(doc[i])
+                    if own[i] not in known and len(found) and int(np.array([_class(len(found), identity(found)[0])], U64).view(np.int64)[0]) == own[i]:
+                        known.add(own[i])
+                        ids.append(own[i])
                         sets.append(found)
                         sides.append(side[i])
+                        copies.append(n[i])
         if len(sets) > 1:
             yield close()
 
-    return dealt.mapInArrow(compare, "u long, v long")
+    return dealt.mapInArrow(compare, LINK)
 
 
-def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, count: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``: its set's size, the least doc_id that links reach.
 
+    With ``count`` also n_links: with how many other rows that have an id the row is linked.
+
     A null or empty text, or one without words, has no shingles and is linked with nothing.  Equal sets are
-    linked whatever their number: one of them stands for all.  A row with a null id keeps its size and has
-    no component; repeated rows get equal answers; other columns change nothing; an empty table gives an
-    empty result.
+    linked whatever their number: one of them stands for all.  Rows with the same id are one document, linked
+    with what any of them is linked with.  A row with a null id keeps its size and has no component and no
+    links; repeated rows get equal answers; other columns change nothing; an empty table gives an empty result.
     """
     rows = cut(identities(docs, k))
-    one = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2", "set_class").agg(F.min("doc_id").alias("first"), F.first("point").alias("point"))
+    one = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2", "set_class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("point").alias("point"))
     one = cut(one)
-    regions = components(candidate_edges(docs, k, percent))
-    members = one.join(regions.select(F.col("id").alias("set_class"), F.col("label").alias("region")), "set_class")
-    members = cut(members.select(F.col("first").alias("doc_id"), "set_class", "n_shingles", "region", "point"))
-    members = cut(near_regions(members, percent))
-    links = components(region_links(members, docs, k, percent))
-    named = one.join(links, F.col("first") == F.col("id"), "left").select("n_shingles", "h1", "h2", F.coalesce("label", "first").alias("found"))
-    joined = rows.join(named, ["n_shingles", "h1", "h2"], "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
+    size = int(one.agg(F.sum("n_shingles")).first()[0] or 0)
+    regions = components(candidate_edges(docs, k, percent, size))
+    wide = cut(one.join(regions.select(F.col("id").alias("set_class"), F.col("label").alias("region")), "set_class").select(F.col("first").alias("doc_id"), "set_class", "n_shingles", "copies", "region", "point"))
+    members = cut(near_regions(wide, percent))
+    found = cut(region_links(members, docs, k, percent, count))
+    # Documents are connected by the links of their sets, and sets by documents that come with several.
+    sets = one.select("set_class", "first")
+    ends = found.where("v is not null").select("u", "v").join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    several = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_class").alias("a"), F.max("set_class").alias("b")).where("a <> b").select("doc_id")
+    both = several.join(rows.where("n_shingles > 0"), "doc_id").select("doc_id", "set_class").join(sets, "set_class").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    labels = components(ends.union(both))
+    named = one.select("n_shingles", "h1", "h2", "set_class", "first", "copies").join(labels, F.col("first") == F.col("id"), "left").select("n_shingles", "h1", "h2", "set_class", "copies", F.coalesce("label", "first").alias("found"))
+    if count:
+        named = named.join(found.where("v is null").groupBy(F.col("u").alias("set_class")).agg(F.sum("more").alias("more")), "set_class", "left")
+    named = cut(named)
+    joined = rows.drop("set_class", "point").join(named, ["n_shingles", "h1", "h2"], "left")
+    has_id = F.col("doc_id").isNotNull()
+    n_links = [F.when(has_id & F.col("copies").isNotNull(), F.col("copies") - 1 + F.coalesce("more", F.lit(0))).otherwise(0).alias("n_links")] if count else []
+    discard(wide, members, found)
+    return joined.select("doc_id", "n_shingles", F.when(has_id, F.coalesce("found", "doc_id")).alias("component_id"), *n_links)
+
+
+#: Rows without an id are numbered from here on, by their text.
+NO_ID = 1 << 62
 
 
 def first_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without those that a document with a smaller id is linked with, at any remove.
+    """The rows of ``docs`` of which no row with a smaller id is linked, at any remove, each once.
 
-    Rows with a null id are all kept; of rows that share an id, those with the component's id are kept.
+    Rows with a null id take part: one stays if no row that it is linked with has an id.  Of several rows with
+    the same id and text, one stays.  Rows without words are linked with nothing.  Other columns are passed on.
     """
-    gone = sent(join_components(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    row, at, again_id, again_text, gone_id = (unused(name, docs) for name in ("row", "at", "again_id", "again_text", "gone_id"))
+    text, own = F.xxhash64(F.col("text")), F.col("doc_id").cast("long")
+    id_ = F.coalesce(own, F.lit(NO_ID) + text.bitwiseAND(F.lit(NO_ID - 1)))
+    found = cut(join_components(docs.select(id_.alias("doc_id"), "text"), k, percent))
+    gone = sent(found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct())
+    kept = docs.join(gone, id_ == F.col(gone_id), "left_anti")
+    repeated = found.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
+    repeated = sent(repeated.select(F.col("doc_id").alias(again_id)))
+    alone = kept.join(repeated, id_ == F.col(again_id), "left_anti")
+    orderable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    again = kept.join(repeated, id_ == F.col(again_id), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.xxhash64(*(F.col(f"`{c}`") for c in orderable)).alias(at), id_.alias(again_id), text.alias(again_text))
+    again = again.groupBy(again_id, again_text).agg(F.min_by(row, at).alias(row)).select(f"{row}.*")
+    return alone.unionByName(again)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), count=True)
 
 
 SQL = """
@@ -364,6 +574,6 @@ pairs as (select a.doc_id as u, b.doc_id as v, count(*) as common from grams a j
 links as (select u, v from pairs join sizes a on a.doc_id = u join sizes b on b.doc_id = v where 100 * common >= 90 * (a.n + b.n - common)),
 edges as (select u, v from links union all select v, u from links),
 reach as (select doc_id, doc_id as other from docs union select r.doc_id, e.v from reach r join edges e on e.u = r.other)
-select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, min(r.other) as component_id
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, min(r.other) as component_id, (select count(*) from edges e where e.u = d.doc_id) as n_links
 from docs d left join sizes s using (doc_id) join reach r using (doc_id) group by all
 """

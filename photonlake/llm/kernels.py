@@ -7,7 +7,7 @@ the partition or the process, so that independent tasks agree and a retried task
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
+Batches = Iterator[pa.RecordBatch]
 U64 = np.uint64
 
 
@@ -153,11 +154,11 @@ def schema_of(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.strip().split(" ") for x in ddl.split(","))])
 
 
-def deal(keys: np.ndarray, values: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    """Rows (part, keys, vals): the tuples of a task, packed by the part their key falls into.
+def deal(keys: np.ndarray, values: list[np.ndarray], parts: int, kind: int = 0) -> pa.RecordBatch:
+    """Rows (part, kind, keys, vals): the tuples of a task, packed by the part their key falls into.
 
     A row holds thousands of tuples as two binary columns, so that an exchange moves their bytes and no
-    row object for each.  The values lie column after column.
+    row object for each.  The values lie column after column.  ``kind`` tells apart the tuples of one exchange.
     """
     part = ((keys >> U64(33)) % U64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
@@ -165,30 +166,41 @@ def deal(keys: np.ndarray, values: list[np.ndarray], parts: int) -> pa.RecordBat
     columns = [keys[order], *(v[order] for v in values)]
     rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
     return pa.RecordBatch.from_arrays(
-        [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([columns[0][a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([b"".join(c[a:b].tobytes() for c in columns[1:]) for _, a, b in rows], pa.binary())],
-        names=["part", "keys", "vals"],
+        [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([columns[0][a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([b"".join(c[a:b].tobytes() for c in columns[1:]) for _, a, b in rows], pa.binary())],
+        names=["part", "kind", "keys", "vals"],
     )
 
 
-DEALT = "part int, keys binary, vals binary"
+DEALT = "part int, kind int, keys binary, vals binary"
 
 
-def unpack(batches: Iterator[pa.RecordBatch], width: int = 1) -> list[np.ndarray]:
-    """The key and the ``width`` values of all tuples of a partition of dealt rows."""
-    found: list[list[np.ndarray]] = [[np.zeros(0, U64)] for _ in range(width + 1)]
+def unpack_kinds(batches: Iterator[pa.RecordBatch], *kinds: Sequence[type]) -> list[list[np.ndarray]]:
+    """For each kind of dealt rows, the key and the values, of the types given, of all its tuples in a partition."""
+    found: list[list[list[np.ndarray]]] = [[[np.zeros(0, U64)], *([np.zeros(0, t)] for t in types)] for types in kinds]
     for batch in batches:
-        for key, value in zip(batch.column("keys"), batch.column("vals"), strict=True):
-            keys = np.frombuffer(key.as_buffer(), U64)
-            for own, values in zip(found, [keys, *np.frombuffer(value.as_buffer(), U64).reshape(width, len(keys))], strict=True):
-                own.append(values.copy())
-    return [np.concatenate(own) for own in found]
+        for kind, key, value in zip(batch.column("kind").to_pylist(), batch.column("keys"), batch.column("vals"), strict=True):
+            keys, raw, at = np.frombuffer(key.as_buffer(), U64), value.as_buffer(), 0
+            found[kind][0].append(keys.copy())
+            for own, t in zip(found[kind][1:], kinds[kind], strict=True):
+                own.append(np.frombuffer(raw, t, len(keys), at).copy())
+                at += own[-1].nbytes
+    return [[np.concatenate(own) for own in columns] for columns in found]
+
+
+def unpack(batches: Iterator[pa.RecordBatch], width: int = 1) -> list[np.ndarray]:
+    """The key and the ``width`` values of all tuples of a partition of dealt rows of one kind."""
+    return unpack_kinds(batches, [U64] * width)[0]
+
+
+def meeting(dealt: DataFrame, parts: int) -> DataFrame:
+    """Dealt rows in the partitions that they name."""
+    return dealt.repartitionById(parts, "part")
 
 
-def exchange(df: DataFrame, make: Callable, meet: Callable, schema: str) -> DataFrame:
-    """Run ``make`` over df's batches, bring equal keys together, run ``meet`` over each partition."""
-    parts = partitions(df.sparkSession)
-    return df.mapInArrow(make(parts), DEALT).repartition(parts, "part").mapInArrow(meet, schema)
+#: Bytes of dealt tuples that a partition gets, about.
+PART_BYTES = 32 << 20
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def partitions(spark: SparkSession, size: int = 0) -> int:
+    """Partitions for an exchange of so many bytes: those of the session at least."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))

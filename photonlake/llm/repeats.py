@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.llm.graph import cut, sent
-from photonlake.llm.kernels import U64, Chunk, Hasher, Words, chunks, deal, exchange, inside, mix, partitions, schema_of, signed, unpack, windows, words
+from photonlake.llm.kernels import DEALT, U64, Chunk, Hasher, Words, chunks, deal, inside, meeting, mix, partitions, schema_of, signed, unpack, windows, words
 
 WINDOW = 13
 ROUNDS = 4
@@ -185,8 +185,8 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
         return meet
 
     parts = partitions(docs.sparkSession)
-    found = exchange(docs.select("text"), make, meet_with(parts), "part int, keys binary, vals binary")
-    return found.repartition(parts, "part").mapInArrow(lambda batches: _by_key(batches, "h1", "anchors"), "h1 long, anchors binary")
+    found = meeting(docs.select("text").mapInArrow(make(parts), DEALT), parts).mapInArrow(meet_with(parts), DEALT)
+    return meeting(found, parts).mapInArrow(lambda batches: _by_key(batches, "h1", "anchors"), "h1 long, anchors binary")
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
@@ -246,8 +246,8 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(signed(owners[own[:-1]])), pa.array(signed(ids[own[:-1]])), pa.array([at[a:b].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary())], names=["h1", "doc_id", "at"])
 
     parts = partitions(texts.sparkSession)
-    found = exchange(texts, make, meet_with(parts), "part int, keys binary, vals binary")
-    return found.repartition(parts, "part").mapInArrow(rows, "h1 long, doc_id long, at binary")
+    found = meeting(texts.mapInArrow(make(parts), DEALT), parts).mapInArrow(meet_with(parts), DEALT)
+    return meeting(found, parts).mapInArrow(rows, "h1 long, doc_id long, at binary")
 
 
 def _with_text(docs: DataFrame, rows: DataFrame, values: str) -> DataFrame:
