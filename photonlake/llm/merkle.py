@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photonlake.llm.graph import cut
+from photonlake.llm.graph import cut, measured
 from photonlake.llm.sharding import HASH_BITS, hash52, text_of
 
 RANGE = 1 << 16
@@ -35,22 +35,25 @@ def record_head(url: Column, key: Column, length: Column) -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"))
 
 
-def records(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """(page_id, url, html, file, offset, length, sha256): where each page's WARC record lies, and its hash.
+def records(pages: DataFrame, file_bytes: int = FILE_BYTES, more: dict[str, Column] | None = None) -> DataFrame:
+    """(page_id, file, offset, length, sha256): where each page's WARC record lies, and its hash.
 
+    Pages are read once; only this and the columns ``more``, made of a page's own columns, is put in order.
     Pages are dealt to files by a hash of their record, and lie there in the order of that hash.  A null
-    url or html counts as empty, a null page_id as the text null; equal rows are records of their own.
+    url or html counts as empty, a null page_id as the text null; equal rows are records of their own.  Other
+    columns change nothing; an empty table has no records.
     """
+    more = more or {}
     body = F.octet_length(F.coalesce("html", F.lit("")))
     whole = F.concat(record_head(F.col("url"), F.col("page_id"), body), F.coalesce("html", F.lit("")), F.lit("\r\n\r\n"))
-    made = pages.select("page_id", "url", "html").withColumn("__record", whole)
-    made = made.select("page_id", "url", "html", F.octet_length("__record").cast("long").alias("length"), F.sha2(F.col("__record").cast("binary"), 256).alias("sha256"))
+    made = pages.select("page_id", F.octet_length(whole).cast("long").alias("length"), F.sha2(whole.cast("binary"), 256).alias("sha256"), *(c.alias(name) for name, c in more.items()))
+    made = cut(made)
     total = made.agg(F.sum("length")).first()[0] or 0
     files = max(1, -(-int(total) // file_bytes))
-    placed = made.withColumn("__at", hash52(F.concat_ws("|", text_of(F.col("page_id")), F.col("sha256"))))
-    placed = placed.withColumn("file", F.floor(F.col("__at") / (2.0**HASH_BITS / files)).cast("long"))
-    order = Window.partitionBy("file").orderBy("__at", "sha256")
-    return placed.withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")).drop("__at")
+    at = hash52(F.concat_ws("|", text_of(F.col("page_id")), F.col("sha256")))
+    placed = made.select("*", at.alias("at")).withColumn("file", F.floor(F.col("at") / (2.0**HASH_BITS / files)).cast("long"))
+    order = Window.partitionBy("file").orderBy("at", "sha256").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.select("page_id", "file", (F.sum("length").over(order) - F.col("length")).alias("offset"), "length", "sha256", *more)
 
 
 def _join(hashes: Column) -> Column:
@@ -90,7 +93,10 @@ def tree(rows: DataFrame, files: int) -> Tree:
 
 
 def differing(a: Tree, b: Tree) -> DataFrame:
-    """(file, offset, status): the records of ``a`` that ``b`` has not (missing) or has otherwise (changed), and those only in ``b`` (extra)."""
+    """(file, offset, status): the records of ``a`` that ``b`` has not (missing) or has otherwise (changed), and those only in ``b`` (extra).
+
+    Only children of nodes that differ are compared, and only their records are.
+    """
     if len(a.levels) != len(b.levels):
         raise ValueError("the trees cover different numbers of files")
     suspect: DataFrame | None = None
@@ -100,7 +106,7 @@ def differing(a: Tree, b: Tree) -> DataFrame:
         if suspect is not None:
             above = suspect.select(F.col("file").alias("up_file"), F.col("place").alias("up_place"))
             file, place = parents(level)
-            left, right = (x.join(above, (file == F.col("up_file")) & (place == F.col("up_place")), "left_semi") for x in (left, right))
+            left, right = (x.join(measured(above), (file == F.col("up_file")) & (place == F.col("up_place")), "left_semi") for x in (left, right))
         both = left.withColumnRenamed("sha256", "own").join(right.withColumnRenamed("sha256", "other"), name, "full")
         suspect = both.where(~F.col("own").eqNullSafe(F.col("other")))
         suspect = cut(suspect) if level >= 0 else suspect
@@ -112,15 +118,16 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     """(file, offset, length, sha256, file_root, status) of every record of either replica; status ok, changed, missing or extra.
 
     ``a`` and ``b`` have (file, offset, length, sha256), with at most one record at an offset of a file.
-    The root is that of a's file, null where it has none.  Empty replicas give an empty result.
+    The root is that of a's file, null where it has none.  Records that the descent doesn't reach are ok without
+    being compared.  Empty replicas give an empty result.
     """
     files = max([int(x.agg(F.max("file")).first()[0] or 0) for x in (a, b)]) + 1
     left, right = tree(a, files), tree(b, files)
-    found = differing(left, right)
-    roots = left.levels[2].select(F.col("file"), F.col("sha256").alias("file_root"))
-    known = a.select("file", "offset", "length", "sha256").join(b.select("file", "offset", F.col("length").alias("l"), F.col("sha256").alias("h")), ["file", "offset"], "full")
-    rows = known.select("file", "offset", F.coalesce("length", "l").alias("length"), F.coalesce("sha256", "h").alias("sha256"))
-    return rows.join(found, ["file", "offset"], "left").join(roots, "file", "left").withColumn("status", F.coalesce("status", F.lit("ok")))
+    found = measured(cut(differing(left, right)))
+    roots = measured(left.levels[2]).select(F.col("file"), F.col("sha256").alias("file_root"))
+    own = a.select("file", "offset", "length", "sha256").join(found, ["file", "offset"], "left")
+    extra = b.select("file", "offset", "length", "sha256").join(found.where("status = 'extra'"), ["file", "offset"])
+    return own.union(extra).join(roots, "file", "left").select("file", "offset", "length", "sha256", "file_root", F.coalesce("status", F.lit("ok")).alias("status"))
 
 
 #: In the query, the replica lost or altered the records of these pages.
@@ -128,14 +135,19 @@ DAMAGED, LOST = (50, 7), (500, 123)
 
 
 def damaged(rows: DataFrame) -> DataFrame:
-    """A replica of ``rows`` in which some records have another byte and some are gone."""
-    hit = F.pmod(F.col("page_id"), F.lit(DAMAGED[0])) == DAMAGED[1]
+    """A replica of ``rows`` (with ``altered``) in which some records have another byte and some are gone; null ids and empty tables stay as they are."""
     lost = F.coalesce(F.pmod(F.col("page_id"), F.lit(LOST[0])) == LOST[1], F.lit(False))
-    return rows.where(~lost).withColumn("sha256", F.when(hit, F.sha2(F.concat(F.lit("#"), F.coalesce("html", F.lit(""))).cast("binary"), 256)).otherwise(F.col("sha256")))
+    return rows.where(~lost).withColumn("sha256", F.coalesce("altered", "sha256"))
+
+
+def altered() -> Column:
+    """The hash of another record in place of a page that the replica has altered; null for others."""
+    hit = F.pmod(F.col("page_id"), F.lit(DAMAGED[0])) == DAMAGED[1]
+    return F.when(hit, F.sha2(F.concat(F.lit("#"), F.coalesce("html", F.lit(""))).cast("binary"), 256))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut(records(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "html", "file", "offset", "length", "sha256").withColumn("html", F.expr(f"case when pmod(page_id, {DAMAGED[0]}) = {DAMAGED[1]} then html end")))
+    rows = cut(records(spark.read.parquet(f"{sf_dir}/pages.parquet"), more={"altered": altered()}))
     found = audit(rows, damaged(rows))
     return found.join(rows.select("file", "offset", "page_id"), ["file", "offset"]).select("page_id", "file", "offset", "length", "sha256", "file_root", "status")
 
