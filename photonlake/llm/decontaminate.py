@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.llm.graph import cut, sent
+from photonlake.llm.names import unused
 
 SPAN = 8
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
@@ -108,13 +109,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         test = short_seeds(items, "item_id", "item", "j", lengths, True).distinct()
         hits = hits.union(short_seeds(docs, "doc_id", "text", "i", lengths, False).join(sent(test), "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("start")))
     hits = cut(hits.distinct())
-    ids = hits.select(F.col("doc_id").alias("id")).distinct()
-    own = docs.join(sent(ids), docs["doc_id"].eqNullSafe(F.col("id")), "left_semi").distinct().select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("w"))
     words = items.select(F.col("item_id").alias("of"), tokens(F.col("item")).alias("t"))
-    pairs = hits.join(own, hits["doc_id"].eqNullSafe(F.col("id"))).join(words, hits["item_id"].eqNullSafe(F.col("of")))
-    first = F.greatest(F.lit(0), -F.col("start"))
-    last = F.least(F.size("t"), F.size("w") - F.col("start"))
-    along = pairs.where(last > first).select("doc_id", "item_id", "start", F.transform(F.sequence(first, last - 1), lambda j: F.when(F.get("t", j) == F.get("w", j + F.col("start")), 1).otherwise(0)).alias("same"), F.least(F.lit(WINDOW), F.size("t")).alias("width"))
+    sizes = words.groupBy("of").agg(F.max(F.size("t")).alias("n"))
+    # Of a document with hits, only the tokens along each alignment go on.
+    places = hits.join(sent(sizes), hits["item_id"].eqNullSafe(F.col("of"))).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("item_id", "start", "n")).alias("at"))
+    own = docs.join(sent(places), docs["doc_id"].eqNullSafe(F.col("id"))).select("doc_id", tokens(F.col("text")).alias("w"), "at")
+    begin = lambda h: F.greatest(F.lit(0), -h["start"])
+    part = lambda h: F.slice("w", F.greatest(F.lit(0), h["start"]) + 1, F.greatest(F.lit(0), h["n"] - begin(h)))
+    parts = own.select("doc_id", F.explode(F.transform("at", lambda h: F.struct(h["item_id"].alias("item_id"), h["start"].alias("start"), begin(h).alias("first"), part(h).alias("part")))).alias("x"))
+    pairs = parts.select("doc_id", "x.*").join(words, F.col("item_id").eqNullSafe(F.col("of")))
+    first = F.col("first")
+    last = F.least(F.size("t"), first + F.size("part"))
+    along = pairs.where(last > first).select("doc_id", "item_id", "start", F.transform(F.sequence(first, last - 1), lambda j: F.when(F.get("t", j) == F.get("part", j - first), 1).otherwise(0)).alias("same"), F.least(F.lit(WINDOW), F.size("t")).alias("width"))
     run = F.when(F.size("same") >= F.col("width"), F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("width") + 1), lambda s: _total(F.slice("same", s, F.col("width")))))).otherwise(0)
     scored = along.select("doc_id", "item_id", "start", _total(F.col("same")).cast("long").alias("matched"), F.size("same").cast("long").alias("compared"), run.cast("long").alias("best"), "width")
     good = scored.where(F.col("best") >= F.col("width") - F.least(F.lit(ALLOWED), F.floor(F.col("width") / TOKENS_EACH)))
@@ -128,8 +134,9 @@ def _total(values: Column) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no part of a test item."""
-    found = sent(overlaps(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    id_ = unused("id", docs)
+    found = sent(overlaps(docs, benchmark).select(F.col("doc_id").alias(id_)).distinct())
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(id_)), "left_anti")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
