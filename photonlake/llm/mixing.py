@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photonlake.llm.graph import cut, sent
+from photonlake.llm.names import unused
 from photonlake.llm.sharding import HASH_BITS, hash52, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,7 +66,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int = ROUND
     known = sources.select(F.col("source").alias("of"), "source_size", "rank", "target")
     queued = cut(queued.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of"))
     last = _last(queued, each, rounds)
-    taken = [F.when(_key_at_most(e, last), 1).otherwise(0) for e in range(rounds)]
+    taken = [F.when(_key_at_most(e, last, rounds), 1).otherwise(0) for e in range(rounds)]
     repeats = sum(taken[1:], taken[0]) if last else F.lit(0)
     return queued.select("doc_id", "source", "size", "copies", "source_size", "target", F.when(F.col("size") > 0, repeats).otherwise(0).alias("repeats"))
 
@@ -74,12 +75,12 @@ def _finish(e: int | Column) -> Column:
     return (e * F.col("source_size") + F.col("upto")) / F.col("target")
 
 
-def _key_at_most(e: int, last: tuple | None) -> Column:
+def _key_at_most(e: int, last: tuple | None, rounds: int) -> Column:
     """Whether round e comes no later than the last round taken."""
     if last is None:
         return F.lit(False)
     finish, tie, at = last
-    own, same = _finish(e), F.col("rank") * ROUNDS + e
+    own, same = _finish(e), F.col("rank") * rounds + e
     return (F.col("size") > 0) & ((own < finish) | (own == finish) & ((same < tie) | (same == tie) & (F.col("at") <= at)))
 
 
@@ -90,7 +91,7 @@ def _last(queued: DataFrame, each: int, rounds: int) -> tuple | None:
     its rounds are put in order.
     """
     turns = queued.where("size > 0 and target > 0").select("*", F.explode(F.array(*map(F.lit, range(rounds)))).alias("e"))
-    turns = turns.select(_finish(F.col("e")).alias("finish"), (F.col("rank") * ROUNDS + F.col("e")).alias("tie"), "at", "words").withColumn("range", F.floor(F.least(F.col("finish"), F.lit(4.0)) * each).cast("long"))
+    turns = turns.select(_finish(F.col("e")).alias("finish"), (F.col("rank") * rounds + F.col("e")).alias("tie"), "at", "words").withColumn("range", F.floor(F.least(F.col("finish"), F.lit(4.0)) * each).cast("long"))
     sums = turns.groupBy("range").agg(F.sum("words").alias("n"), F.max(F.struct("finish", "tie", "at")).alias("top"))
     total = queued.agg(F.sum("words")).first()[0]
     upto = sums.withColumn("upto", F.sum("n").over(Window.orderBy("range")))
@@ -107,10 +108,11 @@ def _last(queued: DataFrame, each: int, rounds: int) -> tuple | None:
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int = ROUNDS) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each as many times as it is repeated, some not at all."""
-    found = mix(docs, weights, rounds).where("repeats > 0").select(F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("n"), F.col("repeats").alias("r")).alias("__mix"))
+    name = unused("mix", docs)
+    found = mix(docs, weights, rounds).where("repeats > 0").select(F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("n"), F.col("repeats").alias("r")).alias(name))
     found = sent(found)
-    same = docs["doc_id"].eqNullSafe(F.col("__mix.d")) & docs["source"].eqNullSafe(F.col("__mix.s")) & (n_words(docs["text"]) == F.col("__mix.n"))
-    return docs.join(found, same).withColumn("__mix", F.explode(F.sequence(F.lit(1), F.col("__mix.r")))).select(*docs.columns)
+    same = docs["doc_id"].eqNullSafe(F.col(f"{name}.d")) & docs["source"].eqNullSafe(F.col(f"{name}.s")) & (n_words(docs["text"]) == F.col(f"{name}.n"))
+    return docs.join(found, same).withColumn(name, F.explode(F.sequence(F.lit(1), F.col(f"{name}.r")))).drop(name)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

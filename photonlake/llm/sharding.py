@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from photonlake.llm.names import unused
+
 SHARDS = 16
 #: Rows that one task numbers, about.
 ROWS_PER_CHUNK = 50_000
@@ -58,10 +60,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, weights: Sequence[float] | None
     at = hash52(F.concat_ws(":", text_of(F.col(key)), text_of(F.col("text_crc32"))))
     placed = docs.withColumns(own).withColumn("slot", F.struct(at.alias("at"), F.floor(at / (2.0**HASH_BITS / each)).cast("long").alias("chunk")))
     counts = placed.groupBy("shard", F.col("slot.chunk").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(F.col("shard").alias("to_shard"), "chunk", (F.sum("n").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n")).alias("before"))
+    to_shard, to_chunk, earlier = (unused(name, placed) for name in ("to_shard", "to_chunk", "before"))
+    before = counts.select(F.col("shard").alias(to_shard), F.col("chunk").alias(to_chunk), (F.sum("n").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n")).alias(earlier))
     inner = F.row_number().over(Window.partitionBy("shard", "slot.chunk").orderBy("slot.at", key, "size"))
     numbered = placed.withColumn("slot", F.struct("slot.chunk", inner.alias("place")))
-    return numbered.join(before.withColumnRenamed("chunk", "to_chunk"), (F.col("shard") == F.col("to_shard")) & (F.col("slot.chunk") == F.col("to_chunk"))).withColumn("slot", F.col("before") + F.col("slot.place") - 1).drop("to_shard", "to_chunk", "before")
+    joined = numbered.join(before, (F.col("shard") == F.col(to_shard)) & (F.col("slot.chunk") == F.col(to_chunk)))
+    return joined.withColumn("slot", F.col(earlier) + F.col("slot.place") - 1).drop(to_shard, to_chunk, earlier)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
