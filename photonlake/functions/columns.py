@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from photonlake.config import EARTH_RADIUS_METRES, FORMATS, QUALITY_EPSILON, QualityThresholds
+from photonlake.config import EARTH_RADIUS_METRES, FORMATS, QualityThresholds
 
 
 def path_depth(path: Column) -> Column:
@@ -151,10 +151,6 @@ def quality_scores(variance: Column, mean: Column, deviation: Column, shadow: Co
     }
 
 
-def better(a: str, b: str) -> Column:
-    """Whether row ``a`` (an alias) outranks ``b`` as the copy to keep."""
-    of = lambda alias, c: F.col(f"{alias}.{c}")
-    qa, qb = of(a, "quality_score"), of(b, "quality_score")
-    decided = F.coalesce(F.abs(qa - qb) > QUALITY_EPSILON, F.lit(False))
-    keys = [F.struct((-of(x, "pixels")).alias("p"), (-of(x, "file_size_bytes")).alias("s"), path_depth(of(x, "relative_path")).alias("d"), F.length(of(x, "relative_path")).alias("l"), of(x, "relative_path").alias("r"), of(x, "photo_id").alias("i")) for x in (a, b)]
-    return F.when(decided, qa > qb).otherwise(keys[0] < keys[1])
+def canonical_id(value: Column) -> Column:
+    """Whether a text is an id as it names files: lower-case hexadecimal digits in groups of 8, 4, 4, 4 and 12."""
+    return F.coalesce(value.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), F.lit(False))

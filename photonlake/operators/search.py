@@ -127,7 +127,7 @@ def keyset(rows: DataFrame, after: object | None, limit: int) -> DataFrame:
 
 def needing(photos: DataFrame, stage: str) -> DataFrame:
     """Photos a stage has still to measure."""
-    marker = {"metadata": "metadata_extracted_at", "hash": "hashed_at", "phash": "phash", "quality": "quality_score"}[stage]
+    marker = {"metadata": "metadata_extracted_at", "hash": "hashed_at", "phash": "phashed_at", "quality": "quality_analyzed_at", "thumbnail": "thumbnailed_at"}[stage]
     states = {"metadata": F.lit(True), "hash": F.col("state") != "missing"}.get(stage, ~F.col("state").isin("missing", "failed"))
     return photos.where(F.col(marker).isNull() & states)
 
@@ -157,7 +157,14 @@ def quality_summary(photos: DataFrame) -> DataFrame:
 
 
 def flag_counts(photos: DataFrame) -> DataFrame:
-    return photos.select(F.explode("quality_flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    """How many photos have each flag, the most frequent first."""
+    return photos.select(F.explode("quality_flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "flag")
+
+
+def flag_map(photos: DataFrame) -> DataFrame:
+    """One row: by_flag, from a flag to its number of photos, as JSON."""
+    each = flag_counts(photos).select(F.struct("flag", "n").alias("e"))
+    return each.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list("e")))).alias("by_flag"))
 
 
 def flagged(photos: DataFrame, flag: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -168,17 +175,27 @@ def flagged(photos: DataFrame, flag: str | None = None, limit: int = 100, offset
 
 
 def relations(photos: DataFrame, me: DataFrame, duplicate_members: DataFrame, similar_members: DataFrame, event_members: DataFrame) -> DataFrame:
-    """(of, kind, photo_id, distance, suggested_keep, is_self): what the photos ``me`` (photo_id) share a group with."""
+    """(of, kind, place, photo_id, distance, suggested_keep, is_self, ...): what the photos ``me`` (photo_id) share a group with.
+
+    ``place`` orders a kind, ties by path: duplicates by whether they are the copy to keep, others by rank or sequence.
+    """
     asked = me.select(F.col("photo_id").alias("of"))
 
-    def beside(rows: DataFrame, key: list[str], kind: str, distance: Column, keep: Column) -> DataFrame:
-        own = rows.join(F.broadcast(asked), F.col("photo_id") == F.col("of")).select("of", *key)
-        return rows.join(F.broadcast(own), key).select("of", F.lit(kind).alias("kind"), "photo_id", distance.cast("double").alias("distance"), keep.alias("suggested_keep"), (F.col("photo_id") == F.col("of")).alias("is_self"))
+    def beside(rows: DataFrame, key: list[str], kind: str, distance: Column, keep: Column, place: Column) -> DataFrame:
+        own = rows.join(asked, F.col("photo_id") == F.col("of")).select("of", *key)
+        return rows.join(own, key).select("of", F.lit(kind).alias("kind"), place.cast("long").alias("place"), "photo_id", distance.cast("double").alias("distance"), keep.alias("suggested_keep"), (F.col("photo_id") == F.col("of")).alias("is_self"))
+
+    keep = F.col("suggested_keep")
+    found = beside(duplicate_members, ["library_id", "sha256"], "duplicate", F.lit(None), keep, F.when(keep, 0).otherwise(1))
+    found = found.unionByName(beside(similar_members, ["group_id"], "similar", F.col("distance"), F.col("rank") == 1, F.col("rank")))
+    found = found.unionByName(beside(event_members, ["library_id", "segment", "part"], "event", F.col("distance_meters"), F.lit(False), F.col("sequence")))
+    return found.join(photos.select("photo_id", "relative_path", "file_size_bytes", "width", "height", "quality_score"), "photo_id")
+
 
-    found = beside(duplicate_members, ["library_id", "sha256"], "duplicate", F.lit(None), F.col("suggested_keep"))
-    found = found.unionByName(beside(similar_members, ["group_id"], "similar", F.col("distance"), F.col("rank") == 1))
-    found = found.unionByName(beside(event_members, ["library_id", "segment", "part"], "event", F.col("distance_meters"), F.lit(False)))
-    return found.join(photos.select("photo_id", "relative_path", "file_size_bytes"), "photo_id")
+def in_order(related: DataFrame) -> DataFrame:
+    """Relations as they are shown: duplicates, similar ones, then the event, each by place and path."""
+    kind = F.when(F.col("kind") == "duplicate", 0).when(F.col("kind") == "similar", 1).otherwise(2)
+    return related.orderBy("of", kind, "place", "relative_path", "photo_id")
 
 
 def new_files(discovered: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,19 +1,22 @@
-"""Near-duplicates: pairs of perceptual hashes within a distance, their groups and ranks."""
+"""Near-duplicates: pairs of perceptual hashes within a distance, their groups and ranks.
 
-from __future__ import annotations
+Hashes of 64 bits within 12 or more of each other share no part that would make a selective key, so they are
+compared all with all, but in tiles of packed numbers: a pair that isn't near is never a row.
+"""
 
-from itertools import combinations
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from photonlake.config import clamp_limit, effective_threshold
-from photonlake.functions.columns import better, hamming
+from photonlake import tiles
+from photonlake.config import QUALITY_EPSILON, clamp_limit, effective_threshold
+from photonlake.functions.columns import hamming
 from photonlake.graph import connected, cut
 from photonlake.operators.duplicates import keep_order
 
-BANDS = 4
-
 
 def candidates(photos: DataFrame, by: tuple[str, ...] = ("library_id",)) -> DataFrame:
     """Files with a perceptual hash, one per content: of exact copies the keeper, unhashed contents each for itself."""
@@ -23,35 +26,54 @@ def candidates(photos: DataFrame, by: tuple[str, ...] = ("library_id",)) -> Data
     return first.select(*by, "x.*").withColumn("pixels", F.col("width").cast("long") * F.col("height").cast("long"))
 
 
-def _around(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
-
-
 def pairs(rows: DataFrame, threshold: int, by: tuple[str, ...] = ("library_id",)) -> DataFrame:
     """(by, hash_a, hash_b, distance): different hashes, a before b as signed numbers, within the threshold.
 
-    Of BANDS parts of the hashes one at least differs in threshold // BANDS bits at most.  One side offers
-    its parts with some of those bits flipped, the other with the rest, so that they meet on equal keys:
-    no pair is lost, and no join of all with all is needed.  Files of the same hash count once here.
+    Files of the same hash count once here.
     """
     threshold = effective_threshold(threshold)
-    width, radius = 64 // BANDS, min(threshold // BANDS, 64 // BANDS)
     hashes = rows.select(*by, "phash").distinct()
 
-    def offered(name: str, own: int) -> DataFrame:
-        flips = F.array(*map(F.lit, _around(width, own)))
-        keys = [_band(flips, b, width) for b in range(BANDS)]
-        return hashes.select(*by, F.col("phash").alias(name), F.explode(F.concat(*keys)).alias("k")).select(*by, name, "k.band", "k.key")
-
-    met = offered("hash_a", radius // 2).join(offered("hash_b", radius - radius // 2), [*by, "band", "key"])
-    distance = hamming(F.col("hash_a"), F.col("hash_b"))
-    near = met.where((F.col("hash_a") != F.col("hash_b")) & (distance <= threshold))
-    return near.select(*by, F.least("hash_a", "hash_b").alias("hash_a"), F.greatest("hash_a", "hash_b").alias("hash_b"), distance.alias("distance")).distinct()
-
-
-def _band(flips: Column, band: int, width: int) -> Column:
-    part = F.shiftrightunsigned("phash", band * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-    return F.transform(flips, lambda f: F.struct(F.lit(band).alias("band"), part.bitwiseXOR(f).alias("key")))
+    def near(g: int, x: tiles.Columns, y: tiles.Columns | None) -> pa.RecordBatch:
+        a, b = x["phash"], x["phash"] if y is None else y["phash"]
+        found = [[], [], []]
+        for part in tiles.blocks(len(a), len(b)):
+            apart = np.bitwise_count((a[part, None] ^ b[None]).view(np.uint64))
+            i, j = np.nonzero(apart <= threshold)
+            left, right = a[part][i], b[j]
+            # A tile with itself gives each pair twice, and each hash with itself.
+            once = left < right if y is None else np.ones(len(i), bool)
+            for own, values in zip(found, (np.minimum(left, right), np.maximum(left, right), apart[i, j]), strict=True):
+                own.append(values[once])
+        ends = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in found]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ends[0]), g, np.int64)), pa.array(ends[0]), pa.array(ends[1]), pa.array(ends[2].astype(np.int32))], names=["g", "hash_a", "hash_b", "distance"])
+
+    made = tiles.numbered(hashes, by)
+    found = tiles.compared(tiles.units(hashes, made, by, ("phash",)), ("phash",), near, "g long, hash_a long, hash_b long, distance int")
+    return found.join(made, "g").select(*by, "hash_a", "hash_b", "distance")
+
+
+RANKED = ("place", "phash", "quality_score")
+
+
+def _fights(g: int, x: tiles.Columns, y: tiles.Columns | None) -> pa.RecordBatch:
+    """(g, place, losses, widest): how many of the other side are better than each row, and how far the farthest is."""
+    other = x if y is None else y
+    n, m = len(x["place"]), len(other["place"])
+    lost, widest = [np.zeros(n, np.int64), np.zeros(m, np.int64)], [np.zeros(n, np.int32), np.zeros(m, np.int32)]
+    for part in tiles.blocks(n, m):
+        apart = np.bitwise_count((x["phash"][part, None] ^ other["phash"][None]).view(np.uint64))
+        lead = x["quality_score"][part, None] - other["quality_score"][None]  # unmeasured ones are NaN
+        wins = np.where(np.abs(lead) > QUALITY_EPSILON, lead > 0, x["place"][part, None] < other["place"][None])
+        lost[0][part] = m - wins.sum(1)
+        lost[1] += wins.sum(0)
+        widest[0][part] = apart.max(1)
+        np.maximum(widest[1], apart.max(0), out=widest[1])
+    if y is None:
+        place, losses, far = x["place"], lost[0] - 1, widest[0]  # a row doesn't win against itself
+    else:
+        place, losses, far = np.concatenate([x["place"], other["place"]]), np.concatenate(lost), np.concatenate(widest)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(place), g, np.int64)), pa.array(place.astype(np.int64)), pa.array(losses), pa.array(far)], names=["g", "place", "losses", "widest"])
 
 
 def groups(rows: DataFrame, threshold: int, by: tuple[str, ...] = ("library_id",)) -> tuple[DataFrame, DataFrame]:
@@ -68,18 +90,21 @@ def groups(rows: DataFrame, threshold: int, by: tuple[str, ...] = ("library_id",
     arcs = near.join(ends[0], [*by, "hash_a"]).join(ends[1], [*by, "hash_b"]).select("a", "b")
     same = rows.join(first, [*by, "phash"]).where("photo_id <> node").select(F.col("photo_id").alias("a"), F.col("node").alias("b"))
     roots = connected(arcs.union(same))
-    own = cut(rows.join(roots, F.col("photo_id") == F.col("node")).drop("node").withColumnRenamed("root", "group_id"))
-    lost = own.alias("a").join(own.alias("b"), "group_id").where("a.photo_id <> b.photo_id")
-    beaten = lost.groupBy("group_id", F.col("a.photo_id").alias("photo_id")).agg(F.count_if(better("b", "a")).alias("losses"), F.max(hamming(F.col("a.phash"), F.col("b.phash"))).alias("widest"))
-    ranked = own.join(beaten, ["group_id", "photo_id"])
-    order = F.struct("losses", (-F.col("pixels")).alias("p"), (-F.col("file_size_bytes")).alias("s"), keep_order().alias("k"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(order)))
+    own = rows.join(roots, F.col("photo_id") == F.col("node")).drop("node").withColumnRenamed("root", "group_id")
+    order = Window.partitionBy("group_id").orderBy(F.desc("pixels"), F.desc("file_size_bytes"), keep_order())
+    own = cut(own.withColumn("place", F.row_number().over(order).cast("long")))
+    made = tiles.numbered(own, ("group_id",))
+    work = tiles.units(own.withColumn("quality_score", F.col("quality_score").cast("double")), made, ("group_id",), RANKED)
+    beaten = tiles.compared(work, RANKED, _fights, "g long, place long, losses long, widest int")
+    beaten = beaten.groupBy("g", "place").agg(F.sum("losses").alias("losses"), F.max("widest").alias("widest")).join(made.select("g", "group_id"), "g").drop("g")
+    ranked = own.join(beaten, ["group_id", "place"])
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy("losses", "place")))
     keep = ranked.where("rank = 1").select("group_id", F.col("photo_id").alias("suggested_keep_photo_id"), F.col("phash").alias("keep_hash"), F.col("file_size_bytes").alias("keep_bytes"))
     ranked = ranked.join(keep, "group_id").withColumn("distance", hamming(F.col("phash"), F.col("keep_hash")))
-    made = ranked.groupBy(*by, "group_id", "suggested_keep_photo_id").agg(
+    found = ranked.groupBy(*by, "group_id", "suggested_keep_photo_id").agg(
         F.count(F.lit(1)).alias("photo_count"), F.lit(threshold).alias("threshold"), F.max("widest").alias("max_distance"), F.greatest(F.sum("file_size_bytes") - F.max("keep_bytes"), F.lit(0)).alias("reclaimable_bytes")
     )
-    return made, ranked.select(*by, "group_id", "photo_id", "relative_path", "distance", "rank")
+    return found, ranked.select(*by, "group_id", "photo_id", "relative_path", "distance", "rank")
 
 
 def listing(made: DataFrame, members: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:

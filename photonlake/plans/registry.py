@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from photonlake.functions import columns as C
 from photonlake.functions import display as D
-from photonlake.operators import duplicates, events, images, ledger, search, similar
+from photonlake.functions import json as J
+from photonlake.operators import duplicates, events, images, ledger, search, similar, workers
+from photonlake.operators import photos as shown
 from photonlake.operators.search import Query
 from photonlake.sources import tables as t
 
@@ -293,7 +295,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return search.flagged(t.photos(spark, d)).select("photo_id", "relative_path", "quality_score")
 
 
-for _stage, _condition in {"metadata": "metadata_extracted_at is null", "hash": "hashed_at is null and state <> 'missing'", "phash": "phash is null and state not in ('missing', 'failed')", "quality": "quality_score is null and state not in ('missing', 'failed')"}.items():
+for _stage, _condition in {"metadata": "metadata_extracted_at is null", "hash": "hashed_at is null and state <> 'missing'", "phash": "phashed_at is null and state not in ('missing', 'failed')", "quality": "quality_analyzed_at is null and state not in ('missing', 'failed')", "thumbnail": "thumbnailed_at is null and state not in ('missing', 'failed')"}.items():
     query(f"needs_work_{_stage}", _photos() + f"select photo_id, relative_path from photos where {_condition}")(lambda spark, d, stage=_stage: search.needing(t.photos(spark, d), stage).select("photo_id", "relative_path"))
 
 
@@ -309,19 +311,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         SIMILAR.replace("placed as", "sim_placed as").replace("from placed", "from sim_placed"),
         "points as (select photo_id, 'all' as library_id, captured_at, captured_at_source, latitude, longitude from photos)",
         FOLD.strip(),
-        "me as (select photo_id as seeker from photos where state = 'failed')",
+        "me as (select photo_id as seeker from photos where photo_id % 20 = 0)",
         """found as (
-  select seeker, 'duplicate' as kind, m.photo_id, null::double as distance, m.suggested_keep from me join dup_members s on s.photo_id = seeker join dup_members m on m.sha256 = s.sha256
-  union all select seeker, 'similar', m.photo_id, m.distance::double, m.rank = 1 from me join sim_members s on s.photo_id = seeker join sim_members m on m.group_id = s.group_id
-  union all select seeker, 'event', m.photo_id, m.metres, false from me join fold s on s.photo_id = seeker join fold m on m.segment = s.segment and m.part = s.part)""",
+  select seeker, 'duplicate' as kind, case when m.suggested_keep then 0 else 1 end as place, m.photo_id, null::double as distance, m.suggested_keep from me join dup_members s on s.photo_id = seeker join dup_members m on m.sha256 = s.sha256
+  union all select seeker, 'similar', m.rank, m.photo_id, m.distance::double, m.rank = 1 from me join sim_members s on s.photo_id = seeker join sim_members m on m.group_id = s.group_id
+  union all select seeker, 'event', m.sequence, m.photo_id, m.metres, false from me join fold s on s.photo_id = seeker join fold m on m.segment = s.segment and m.part = s.part)""",
     )
-    + 'select seeker as "of", kind, photo_id, round(distance, 3) as distance, suggested_keep, photo_id = seeker as is_self, relative_path, file_size_bytes from found join photos using (photo_id)',
+    + 'select seeker as "of", kind, place::bigint as place, photo_id, round(distance, 3) as distance, suggested_keep, photo_id = seeker as is_self, relative_path, file_size_bytes, width, height, quality_score from found join photos using (photo_id)',
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = t.photos(spark, d)
     dup = duplicates.members(p, duplicates.groups(p, ALL), ALL).withColumn("library_id", F.lit("all"))
     event = events.members(p.withColumn("library_id", F.lit("all")), GAP, RADIUS)
-    found = search.relations(p, p.where("state = 'failed'"), dup, _similar(p)[1], event)
+    found = search.relations(p, p.where("photo_id % 20 = 0"), dup, _similar(p)[1], event)
     return found.withColumn("distance", F.round("distance", 3))
 
 
@@ -358,9 +360,56 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ledger.deferrals(t.jobs(spark, d), t.executions(spark, d))
 
 
+_WORK = _JOBS + ",\n" + t.WORKERS_SQL.strip()
+HELD = "(select count(*) from jobs where status = 'running' and leased_by = worker_id)"
+
+
 @query("worker_running", _JOBS + "select w as worker_id, (select count(*) from jobs where status = 'running' and leased_by = w) as running from range(10) r(w)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.worker_running(spark.range(10).withColumnRenamed("id", "worker_id"), t.jobs(spark, d))
+    return workers.running(spark.range(10).withColumnRenamed("id", "worker_id"), t.jobs(spark, d))
+
+
+@query("worker_listing", _WORK + f" select worker_id, hostname, status, slots, last_heartbeat_at, {HELD} as running from workers")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return workers.listing(t.workers(spark, d), t.jobs(spark, d)).select("worker_id", "hostname", "status", "slots", "last_heartbeat_at", "running")
+
+
+@query("worker_rollup", _WORK + f" select count(*) as workers, count(*) filter (status = 'active') as active, coalesce(sum(slots) filter (status = 'active'), 0)::bigint as slots, coalesce(sum({HELD}), 0)::bigint as running from workers")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return workers.rollup(t.workers(spark, d), t.jobs(spark, d))
+
+
+@query("worker_reap", _WORK + " select worker_id, case when status = 'active' and last_heartbeat_at < timestamp '1995-12-31 23:59:45' then 'dead' else status end as status, case when status = 'active' and last_heartbeat_at < timestamp '1995-12-31 23:59:45' then timestamp '1996-01-01' else stopped_at end as stopped_at from workers")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return workers.reap(t.workers(spark, d), datetime(1996, 1, 1)).select("worker_id", "status", "stopped_at")
+
+
+@query("worker_purge", _WORK + f" select worker_id, status from workers where not (status in ('stopped', 'dead') and stopped_at < timestamp '1995-12-31 23:59:40' and {HELD} = 0)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return workers.purge(t.workers(spark, d), t.jobs(spark, d), datetime(1996, 1, 1), 20).select("worker_id", "status")
+
+
+@query("worker_victim", _WORK + " select worker_id, hostname, count(*) as running from jobs join workers on worker_id = leased_by where jobs.status = 'running' group by worker_id, hostname order by running desc, worker_id limit 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return workers.victim(t.workers(spark, d), t.jobs(spark, d))
+
+
+@query("job_counts", _JOBS + " select count(*) filter (status = 'pending') as pending, count(*) filter (status = 'running') as running, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status = 'dead') as dead, count(*) as total from jobs where library_id = 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.counts(t.jobs(spark, d), 1)
+
+
+_TYPES = "select job_type, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'running') as running, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status = 'dead') as dead, count(*) as total from jobs group by job_type"
+
+
+@query("job_counts_map", _JOBS + f""" select '{{' || string_agg('"' || job_type || '":{{"pending":' || pending || ',"running":' || running || ',"succeeded":' || succeeded || ',"dead":' || dead || ',"total":' || total || '}}', ',' order by job_type) || '}}' as by_type from ({_TYPES})""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.counts_map(t.jobs(spark, d))
+
+
+@query("duration_spread", _BOTH + " select worker_id, count(duration_ms) as n, median(duration_ms) as median, min(duration_ms) as least, max(duration_ms) as greatest from executions group by worker_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.spread(t.executions(spark, d), "duration_ms", "worker_id")
 
 
 @query("recovery_pairs", _BOTH + "select x.job_id, x.attempt, min(case when y.started_at > x.started_at then y.started_at end) as taken_up_at, count(*) filter (y.outcome = 'succeeded') as succeeded_elsewhere, status from executions x join jobs on id = x.job_id left join executions y on y.job_id = x.job_id and y.worker_id <> 3 where x.worker_id = 3 and x.outcome = 'abandoned' group by x.job_id, x.attempt, status")
@@ -374,29 +423,171 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ledger.enqueue(t.jobs(spark, d), wanted)
 
 
-@query("job_claim_topk", _JOBS + "select id, priority, 'running' as status, attempt_count + 1 as attempt_count from jobs where status = 'pending' order by priority, id limit 25")
+_NOW, _NOW_SQL = datetime(1996, 1, 1), "timestamp '1996-01-01'"
+_HELD = "status = 'running' and leased_by = 3"
+_WAIT = "least(300.0::double, 2 * pow(2, greatest(attempt_count, 1) - 1))"
+
+
+_UNSET = {"leased_by": -1, "lease_expires_at": datetime(1970, 1, 1), "started_at": datetime(1970, 1, 1), "completed_at": datetime(1970, 1, 1), "last_error": ""}
+_UNSET_SQL = {c: repr(v) if isinstance(v, str) else "-1" if v == -1 else "timestamp '1970-01-01'" for c, v in _UNSET.items()}
+
+
+def _job(rows: DataFrame) -> DataFrame:
+    """The columns that transitions change; what is unset by a value that all engines show alike."""
+    unset = {c: F.coalesce(F.col(c), F.lit(v).cast(rows.schema[c].dataType)) for c, v in _UNSET.items()}
+    return rows.withColumns(unset).select("id", "status", "leased_by", "lease_expires_at", "attempt_count", "next_attempt_at", "started_at", "completed_at", "last_error")
+
+
+def _changed(where: str, rest: str = "", **to: str) -> str:
+    kept = ("status", "leased_by", "lease_expires_at", "attempt_count", "next_attempt_at", "started_at", "completed_at", "last_error")
+    return _JOBS + " select id, " + ", ".join(f"coalesce({to.get(c, c)}, {_UNSET_SQL[c]}) as {c}" if c in _UNSET else f"{to.get(c, c)} as {c}" for c in kept) + f" from jobs where {where} {rest}"
+
+
+_FREE = {"leased_by": "null::bigint", "lease_expires_at": "null::timestamp"}
+_OVER = "attempt_count >= max_attempts"
+
+
+@query("job_claim_topk", _changed(f"status = 'pending' and next_attempt_at <= {_NOW_SQL}", "order by priority, id limit 25", status="'running'", leased_by="3::bigint", lease_expires_at=f"{_NOW_SQL} + interval 60 second", attempt_count="attempt_count + 1", started_at=f"coalesce(started_at, {_NOW_SQL})"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _job(ledger.claim(t.jobs(spark, d), 3, 25, _NOW))
+
+
+@query("job_complete_transition", _changed(_HELD, status="'succeeded'", **_FREE, completed_at=_NOW_SQL, last_error="null::varchar"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _job(ledger.complete(t.jobs(spark, d), 3, _NOW))
+
+
+_RETRY = f"case when {_OVER} then next_attempt_at else {_NOW_SQL} + to_microseconds(({_WAIT} * 1000000)::bigint) end"
+
+
+@query("job_fail_transition", _changed(_HELD, status=f"case when {_OVER} then 'dead' else 'pending' end", **_FREE, next_attempt_at=_RETRY, completed_at=f"case when {_OVER} then {_NOW_SQL} end", last_error="'broken'"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _job(ledger.fail(t.jobs(spark, d), 3, _NOW, "broken"))
+
+
+@query("job_fail_permanently", _changed(_HELD, status="'dead'", **_FREE, completed_at=_NOW_SQL, last_error="'not an image'"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.claim(t.jobs(spark, d), 25).select("id", "priority", "status", "attempt_count")
+    return _job(ledger.fail(t.jobs(spark, d), 3, _NOW, "not an image", permanent=True))
 
 
-@query("job_fail_transition", _JOBS + "select id, case when attempt_count >= max_attempts then 'dead' else 'pending' end as next_status, case when attempt_count < max_attempts then least(300.0::double, 2 * pow(2, greatest(attempt_count, 1) - 1)) end as wait_seconds from jobs where status = 'running'")
+@query("job_defer_transition", _changed(_HELD, status="'pending'", **_FREE, attempt_count="greatest(attempt_count - 1, 0)", next_attempt_at=f"{_NOW_SQL} + interval 2 second", last_error="'hashing first'"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.fail(t.jobs(spark, d)).select("id", "next_status", "wait_seconds")
+    return _job(ledger.defer(t.jobs(spark, d), 3, _NOW, 2, "hashing first"))
 
 
-@query("job_complete_transition", _JOBS + "select id, 'succeeded' as status from jobs where status = 'running' and leased_by = 3")
+@query("job_renew_leases", _changed(_HELD, lease_expires_at=f"{_NOW_SQL} + interval 60 second"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.complete(t.jobs(spark, d), 3).select("id", "status")
+    return _job(ledger.renew(t.jobs(spark, d), 3, _NOW))
 
 
-@query("job_defer_transition", _JOBS + "select id, 'pending' as status, greatest(attempt_count - 1, 0) as attempt_count from jobs where status = 'running'")
+@query("job_release_leases", _changed(_HELD, status="'pending'", **_FREE, next_attempt_at=_NOW_SQL))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.defer(t.jobs(spark, d)).select("id", "status", "attempt_count")
+    return _job(ledger.release(t.jobs(spark, d), 3, _NOW))
 
 
-@query("job_reap_transition", _JOBS + "select id, case when attempt_count >= max_attempts then 'dead' else 'pending' end as next_status, 'lease expired: worker stopped responding (attempt ' || attempt_count || ' of ' || max_attempts || ')' as reason from jobs where status = 'running' and lease_expires_at < timestamp '1996-01-01'")
+_LOST = f"status = 'running' and lease_expires_at < {_NOW_SQL}"
+
+
+@query(
+    "job_reap_transition",
+    _changed(_LOST, status=f"case when {_OVER} then 'dead' else 'pending' end", **_FREE, next_attempt_at=f"case when {_OVER} then next_attempt_at else {_NOW_SQL} + interval 2 second end", completed_at=f"case when {_OVER} then {_NOW_SQL} end", last_error="'lease expired: worker stopped responding (attempt ' || attempt_count || ' of ' || max_attempts || ')'"),
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _job(ledger.reap(t.jobs(spark, d), _NOW, 2))
+
+
+@query("job_reap_counts", _JOBS + f" select count(*) filter (not ({_OVER})) as requeued, count(*) filter ({_OVER}) as died from jobs where {_LOST}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.reaped_counts(ledger.reap(t.jobs(spark, d), _NOW))
+
+
+@query("job_reap_executions", _BOTH + f" select job_id, attempt, {_NOW_SQL} as finished_at, 'abandoned' as outcome, 'lease expired' as error from executions where finished_at is null and job_id in (select id from jobs where {_LOST})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    closed = ledger.reaped_executions(t.executions(spark, d), ledger.reap(t.jobs(spark, d), _NOW), _NOW)
+    return closed.select("job_id", "attempt", "finished_at", "outcome", "error")
+
+
+@query("job_ledger_after_claim", _JOBS + f", chosen as (select id from jobs where status = 'pending' and next_attempt_at <= {_NOW_SQL} order by priority, id limit 25) select status, count(*) as n, sum(attempt_count)::bigint as attempts from (select case when id in (from chosen) then 'running' else status end as status, attempt_count + (id in (from chosen))::int as attempt_count from jobs) group by status")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    jobs = t.jobs(spark, d)
+    return ledger.applied(jobs, ledger.claim(jobs, 3, 25, _NOW)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("attempt_count").alias("attempts"))
+
+
+_NEEDS = {"EXTRACT_METADATA": "metadata_extracted_at is null", "COMPUTE_FILE_HASH": "hashed_at is null and state <> 'missing'", "COMPUTE_PERCEPTUAL_HASH": "phashed_at is null and state not in ('missing', 'failed')", "ANALYZE_QUALITY": "quality_analyzed_at is null and state not in ('missing', 'failed')", "GENERATE_THUMBNAIL": "thumbnailed_at is null and state not in ('missing', 'failed')"}
+
+
+@query(
+    "job_fan_out",
+    _photos()
+    + " union all ".join(f"select '{kind}' as job_type, 'photo' as target_type, photo_id::varchar as target_id, library_id, 100 as priority, 5 as max_attempts from photos where {needs}" for kind, needs in _NEEDS.items())
+    + "".join(f" union all select '{kind}', 'library', library_id, library_id, 200, 5 from (select distinct library_id from photos)" for kind in ledger.LIBRARY_JOBS),
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = t.photos(spark, d)
+    return ledger.fan_out(p, p.select("library_id").distinct(), {stage: search.needing(p, stage) for stage in ledger.PHOTO_JOBS})
+
+
+# Photos as they are shown.
+_SHOWN = "p.photo_id, p.library_id, relative_path, original_filename, file_size_bytes, detected_format, state, width, height, orientation, camera_make, camera_model, captured_at, captured_at_source, latitude, longitude, sharpness_score, exposure_score, contrast_score, resolution_score, quality_score"
+_VIEW = _photos(_dup(), SIMILAR, "points as (select photo_id, library_id, captured_at, captured_at_source, latitude, longitude from photos where state not in ('missing', 'failed'))", FOLD.strip().replace("placed as", "event_placed as").replace("from placed", "from event_placed").replace("join placed", "join event_placed"))
+_VIEW += f"""select {_SHOWN}, array_to_string(quality_flags, ',') as flags, p.sha256, lpad(lower(to_hex(p.phash)), 16, '0') as phash, (select min(m.sha256) from dup_members m where m.photo_id = p.photo_id) as duplicate_group_id, (select min(m.group_id)::varchar from sim_members m where m.photo_id = p.photo_id) as similar_group_id,
+  (select min(f.library_id || '/' || f.segment || '/' || f.part) from fold f where f.photo_id = p.photo_id) as cluster_id, coalesce(thumbnail_width, -1) as thumbnail_width, coalesce(thumbnail_height, -1) as thumbnail_height, last_error from photos p"""
+
+
+def _view(spark: SparkSession, d: str) -> DataFrame:
+    p = t.photos(spark, d)
+    dup = duplicates.members(p, duplicates.groups(p, ALL), ALL).select("photo_id", F.col("sha256").alias("group_id"))
+    event = events.members(p.where("state not in ('missing', 'failed')"), GAP, RADIUS).select("photo_id", F.concat_ws("/", "library_id", "segment", "part").alias("group_id"))
+    rows = shown.view(p, dup, _similar(p)[1], event)
+    sizes = {c: F.coalesce(F.col(c), F.lit(-1)) for c in ("thumbnail_width", "thumbnail_height")}
+    return rows.withColumns({"flags": F.array_join("quality_flags", ","), **sizes}).drop("quality_flags")
+
+
+@query("photo_view", _VIEW)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _view(spark, d)
+
+
+@query("photo_lookup", _photos() + "select photo_id, relative_path, state from photos where photo_id = 100")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown.lookup(t.photos(spark, d), 100).select("photo_id", "relative_path", "state")
+
+
+@query("photos_missing_a_stage", _photos() + "select photo_id, state from photos where state <> 'failed' and (metadata_extracted_at is null or hashed_at is null or phashed_at is null or quality_analyzed_at is null or thumbnailed_at is null)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown.missing_a_stage(t.photos(spark, d)).select("photo_id", "state")
+
+
+@query("flag_map", _photos() + """select '{' || string_agg('"' || flag || '":' || n, ',' order by flag) || '}' as by_flag from (select flag, count(*) as n from (select unnest(quality_flags) as flag from photos) group by flag)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return search.flag_map(t.photos(spark, d))
+
+
+@query("photos_as_json", _photos() + """select photo_id, '{"photo_id":' || photo_id || ',"state":"' || state || '"' || case when camera_make is not null then ',"camera_make":"' || camera_make || '"' else '' end || case when thumbnail_width is not null then ',"thumbnail_width":' || thumbnail_width else '' end || '}' as json from photos""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return J.encoded(t.photos(spark, d).select("photo_id", "state", "camera_make", "thumbnail_width"), "photo_id")
+
+
+_MARKED = "case when photo_id % 3 = 0 then {} else {} end as {}"
+
+
+@query(
+    "stage_results",
+    _photos()
+    + "select photo_id, "
+    + ", ".join(_MARKED.format(new, old, name) for name, old, new in (("sha256", "sha256", "'abc'"), ("phash", "phash::hugeint::varchar", "null"), ("thumbnail_width", "coalesce(thumbnail_width, -1)", "200"), ("quality_score", "quality_score", "null::double")))
+    + f", case when photo_id % 3 = 0 then 'bad pixels' else last_error end as last_error, case when photo_id % 3 = 0 then {_NOW_SQL} else hashed_at end as hashed_at, case when photo_id % 3 = 0 then {_NOW_SQL} else phashed_at end as phashed_at from photos",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.reap(t.jobs(spark, d), datetime(1996, 1, 1))
+    p = t.photos(spark, d).withColumn("thumbnail_bytes", F.lit(None).cast("int"))
+    for c in ("raw_laplacian_variance", "mean_luminance", "shadow_clipping", "highlight_clipping"):
+        p = p.withColumn(c, F.lit(None).cast("double"))
+    some = p.where("photo_id % 3 = 0").select("photo_id", F.lit("bad pixels").alias("last_error"))
+    p = shown.set_hash(p, some.select("photo_id", F.lit("abc").alias("sha256"), F.lit(None).cast("string").alias("last_error")), _NOW)
+    p = shown.mark_failed(shown.mark_failed(p, "quality", some, _NOW), "phash", some, _NOW)
+    p = shown.set_thumbnail(p, some.select("photo_id", F.lit(200).alias("thumbnail_width"), F.lit(100).alias("thumbnail_height"), F.lit(9).alias("thumbnail_bytes")), _NOW)
+    digits = F.when(F.col("phash") < 0, F.col("phash").cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.col("phash").cast("decimal(20,0)"))
+    return p.select("photo_id", "sha256", digits.cast("string").alias("phash"), F.coalesce("thumbnail_width", F.lit(-1)).alias("thumbnail_width"), "quality_score", "last_error", "hashed_at", "phashed_at")
 
 
 @query("backoff_schedule", _JOBS + "select distinct attempt_count, least(300.0::double, 2 * pow(2, least(greatest(attempt_count, 1) - 1, 30))) as wait_seconds, greatest(max_attempts - attempt_count, 0) as attempts_remaining from jobs")

@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.config import MAX_FILE_BYTES
@@ -98,9 +98,18 @@ def result(entries: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def register_library(libraries: DataFrame, new: DataFrame) -> DataFrame:
-    """``libraries`` with those of ``new`` whose kind and root aren't there yet; an existing one keeps its name."""
+    """``libraries`` with those of ``new`` whose kind and root aren't there yet; an existing one keeps its name.
+
+    ``created`` says which are new.
+    """
     key = ["source_kind", "root_path"]
-    return libraries.unionByName(new.dropDuplicates(key).join(libraries.select(*key), key, "left_anti"), allowMissingColumns=True)
+    fresh = new.dropDuplicates(key).join(libraries.select(*key), key, "left_anti")
+    return libraries.withColumn("created", F.lit(False)).unionByName(fresh.withColumn("created", F.lit(True)), allowMissingColumns=True)
+
+
+def libraries_in_order(libraries: DataFrame) -> DataFrame:
+    """The newest first."""
+    return libraries.orderBy(F.desc("created_at"), "id")
 
 
 def may_start(state: str, force: bool = False) -> bool:
@@ -108,6 +117,31 @@ def may_start(state: str, force: bool = False) -> bool:
     return force or state != "scanning"
 
 
+def _with(libraries: DataFrame, chosen: Column, **changes: Column) -> DataFrame:
+    return libraries.withColumns({c: F.when(chosen, v.cast(libraries.schema[c].dataType)).otherwise(F.col(c)) for c, v in changes.items()})
+
+
+def begin_scan(libraries: DataFrame, library: object, now: object, force: bool = False) -> DataFrame:
+    """``libraries`` with a scan begun; the library stays as it is while another runs, unless it is forced."""
+    free = F.lit(force) | F.col("last_scan_started_at").isNull() | F.col("last_scan_finished_at").isNotNull()
+    return _with(libraries, (F.col("id") == library) & free, last_scan_started_at=F.lit(now), last_scan_finished_at=F.lit(None))
+
+
+def finish_scan(libraries: DataFrame, library: object, now: object) -> DataFrame:
+    return _with(libraries, F.col("id") == library, last_scan_finished_at=F.lit(now))
+
+
+def interrupted(libraries: DataFrame) -> DataFrame:
+    """Libraries whose scan began and never ended."""
+    return libraries.where("last_scan_started_at is not null and last_scan_finished_at is null")
+
+
+def reconcile(libraries: DataFrame, now: object) -> DataFrame:
+    """``libraries`` after a crash: scans that never ended are closed, so that the next may begin."""
+    open_ = F.col("last_scan_started_at").isNotNull() & F.col("last_scan_finished_at").isNull()
+    return _with(libraries, open_, last_scan_finished_at=F.lit(now))
+
+
 def content_features(files: DataFrame) -> DataFrame:
     """(path, sha256, short, file_size_bytes, note) of rows (path, content, length): the hash of each file, and whether its size changed."""
     size = F.octet_length("content").cast("long")

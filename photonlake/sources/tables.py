@@ -16,6 +16,10 @@ def sign_hash(values: Column) -> Column:
     return F.when(values.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
 
 
+#: Parts of a quality label as scores of the view.
+SCORES = {"sharpness": 0.5, "exposure": 0.25, "contrast": 0.75, "resolution": 0.625}
+
+
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files, embeddings as perceptual hashes, events as capture time and place, labels as quality."""
     d, e, l, m = (table(spark, sf_dir, t) for t in ("documents", "events", "labels", "embeddings"))  # noqa: E741
@@ -43,6 +47,18 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 17 != 0, F.col("ts")).alias("metadata_extracted_at"),
         F.when(i % 13 != 0, F.col("ts")).alias("hashed_at"),
         (i * 60).alias("created_seconds"),
+        F.concat(F.col("source"), F.lit("_"), i.cast("string"), F.lit(".jpg")).alias("original_filename"),
+        F.when(i % 5 != 0, "jpeg").alias("detected_format"),
+        (i % 9).cast("int").alias("orientation"),
+        F.when(i % 4 != 0, F.concat(F.lit("make"), (i % 3).cast("string"))).alias("camera_make"),
+        F.when(i % 6 != 0, F.concat(F.lit("model"), (i % 7).cast("string"))).alias("camera_model"),
+        *(F.when(F.col("quality").isNotNull(), F.lit(part) * F.col("quality") + F.lit(0.125)).alias(f"{name}_score") for name, part in SCORES.items()),
+        F.when((i % 23 != 0) & (F.col("phash").isNotNull() | (i % 10 == 0)), F.col("ts")).alias("phashed_at"),
+        F.when(F.col("quality").isNotNull() | (i % 10 == 0), F.col("ts")).alias("quality_analyzed_at"),
+        F.when(i % 6 != 0, F.col("ts")).alias("thumbnailed_at"),
+        F.when(i % 12 > 6, 400).alias("thumbnail_width"),
+        F.when(i % 12 > 6, 300).alias("thumbnail_height"),
+        F.when((i % 37 == 0) & (i % 41 != 0), "not an image").alias("last_error"),
     )
 
 
@@ -62,7 +78,14 @@ photos as (
     list_filter([case when l.quality = 0 then 'possibly_blurry' end, case when l.toxic = 1 then 'highlights_clipped' end, case when d.n_chars < 200 then 'low_resolution' end], lambda x: x is not null) as quality_flags,
     640 + d.doc_id % 5 * 160 as width, 480 + d.doc_id % 3 * 120 as height,
     case when d.doc_id % 17 <> 0 then e.ts end as metadata_extracted_at, case when d.doc_id % 13 <> 0 then e.ts end as hashed_at,
-    d.doc_id * 60 as created_seconds
+    d.doc_id * 60 as created_seconds,
+    concat(d.source, '_', cast(d.doc_id as varchar), '.jpg') as original_filename, case when d.doc_id % 5 <> 0 then 'jpeg' end as detected_format, (d.doc_id % 9)::int as orientation,
+    case when d.doc_id % 4 <> 0 then 'make' || (d.doc_id % 3) end as camera_make, case when d.doc_id % 6 <> 0 then 'model' || (d.doc_id % 7) end as camera_model,
+    0.5::double * l.quality + 0.125::double as sharpness_score, 0.25::double * l.quality + 0.125::double as exposure_score, 0.75::double * l.quality + 0.125::double as contrast_score, 0.625::double * l.quality + 0.125::double as resolution_score,
+    case when d.doc_id % 23 <> 0 and (m.embedding is not null or d.doc_id % 10 = 0) then e.ts end as phashed_at,
+    case when l.quality is not null or d.doc_id % 10 = 0 then e.ts end as quality_analyzed_at, case when d.doc_id % 6 <> 0 then e.ts end as thumbnailed_at,
+    case when d.doc_id % 12 > 6 then 400 end as thumbnail_width, case when d.doc_id % 12 > 6 then 300 end as thumbnail_height,
+    case when d.doc_id % 37 = 0 and d.doc_id % 41 <> 0 then 'not an image' end as last_error
   from documents d left join events e on e.event_id = d.doc_id left join labels l on l.doc_id = d.doc_id left join embeddings m on m.vec_id = d.doc_id)
 """
 
@@ -99,12 +122,14 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         i.alias("id"), F.col("o_orderpriority").alias("job_type"), F.col("o_custkey").alias("target_id"), (i % 3).alias("library_id"), status.alias("status"), (100 + i % 2 * 100).alias("priority"),
         (i % 7).alias("attempt_count"), F.lit(5).alias("max_attempts"), F.col("o_orderdate").alias("next_attempt_at"), F.when(status == "running", i % 8).alias("leased_by"), F.when(status == "running", F.col("o_orderdate")).alias("lease_expires_at"),
+        F.when(i % 4 == 0, F.col("o_orderdate")).alias("started_at"), F.when(status.isin("succeeded", "dead"), F.col("o_orderdate")).alias("completed_at"), F.when(i % 5 == 0, "unreadable").alias("last_error"),
     )
 
 
 JOBS_SQL = """
 jobs as (
-  select *, case when status = 'running' then id % 8 end as leased_by, case when status = 'running' then next_attempt_at end as lease_expires_at from (
+  select *, case when status = 'running' then id % 8 end as leased_by, case when status = 'running' then next_attempt_at end as lease_expires_at,
+      case when id % 4 = 0 then next_attempt_at end as started_at, case when status in ('succeeded', 'dead') then next_attempt_at end as completed_at, case when id % 5 = 0 then 'unreadable' end as last_error from (
     select o_orderkey as id, o_orderpriority as job_type, o_custkey as target_id, o_orderkey % 3 as library_id,
       case when o_orderkey % 19 = 0 then 'dead' when o_orderstatus = 'F' then 'succeeded' when o_orderstatus = 'O' then 'pending' else 'running' end as status,
       100 + o_orderkey % 2 * 100 as priority, o_orderkey % 7 as attempt_count, 5 as max_attempts, o_orderdate as next_attempt_at from orders))
@@ -115,12 +140,31 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as the executions of those jobs."""
     x = table(spark, sf_dir, "lineitem")
     outcome = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "N", "succeeded").when(F.col("l_linestatus") == "O", "deferred").otherwise("abandoned")
-    return x.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("attempt"), (F.col("l_suppkey") % 8).alias("worker_id"), F.col("l_shipdate").alias("started_at"), (F.col("l_quantity") * 10 + F.col("l_discount") * 100).alias("duration_ms"), outcome.alias("outcome"))
+    return x.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("attempt"), (F.col("l_suppkey") % 8).alias("worker_id"), F.col("l_shipdate").alias("started_at"), (F.col("l_quantity") * 10 + F.col("l_discount") * 100).alias("duration_ms"), outcome.alias("outcome"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_shipdate")).alias("finished_at"), F.lit(None).cast("string").alias("error"))
 
 
 EXECUTIONS_SQL = """
 executions as (
   select l_orderkey as job_id, l_linenumber as attempt, l_suppkey % 8 as worker_id, l_shipdate as started_at, l_quantity * 10 + l_discount * 100 as duration_ms,
-    case when l_returnflag = 'R' then 'failed' when l_returnflag = 'N' then 'succeeded' when l_linestatus = 'O' then 'deferred' else 'abandoned' end as outcome
+    case when l_returnflag = 'R' then 'failed' when l_returnflag = 'N' then 'succeeded' when l_linestatus = 'O' then 'deferred' else 'abandoned' end as outcome,
+    case when l_linenumber % 3 <> 0 then l_shipdate end as finished_at, null::varchar as error
   from lineitem)
 """
+
+
+def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """suppliers as workers, each seen a few seconds before 1996 began; more than hold jobs."""
+    i = F.col("s_suppkey")
+    seen = F.timestamp_micros(F.lit(820454400_000_000) - i * 37 % 50 * 1_000_000)
+    status = F.when(i % 7 == 0, "dead").when(i % 5 == 0, "stopped").otherwise("active")
+    return table(spark, sf_dir, "supplier").select(
+        (i - 1).cast("long").alias("worker_id"), F.col("s_name").alias("hostname"), (1 + i % 4).cast("int").alias("slots"), status.alias("status"), F.timestamp_micros(F.lit(820450800_000_000)).alias("started_at"), seen.alias("last_heartbeat_at"), F.when(status != "active", seen).alias("stopped_at")
+    )
+
+
+WORKERS_SQL = """
+workers as (
+  select *, case when status <> 'active' then last_heartbeat_at end as stopped_at from (
+    select s_suppkey - 1 as worker_id, s_name as hostname, 1 + s_suppkey % 4 as slots, case when s_suppkey % 7 = 0 then 'dead' when s_suppkey % 5 = 0 then 'stopped' else 'active' end as status,
+      timestamp '1995-12-31 23:00:00' as started_at, timestamp '1996-01-01 00:00:00' - (s_suppkey * 37 % 50) * interval 1 second as last_heartbeat_at from supplier))
+"""
