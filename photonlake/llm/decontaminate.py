@@ -133,7 +133,7 @@ def _total(values: Column) -> Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no part of a test item."""
+    """The rows of ``docs`` whose id no row with a part of a test item has; null ids count as one id.  All columns pass."""
     id_ = unused("id", docs)
     found = sent(overlaps(docs, benchmark).select(F.col("doc_id").alias(id_)).distinct())
     return docs.join(found, docs["doc_id"].eqNullSafe(F.col(id_)), "left_anti")

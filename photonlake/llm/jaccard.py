@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.llm.graph import components, cut, discard, sent
-from photonlake.llm.kernels import DEALT, U64, Chunk, Hasher, chunks, deal, lower_table, meeting, mix, partitions, schema_of, signed, spread, unpack_kinds, windows, words
+from photonlake.llm.kernels import DEALT, U64, Chunk, Hasher, chunks, deal, lean, lower_table, meeting, mix, partitions, schema_of, signed, spread, unpack_kinds, windows, words
 from photonlake.llm.names import unused
 
 SHINGLE = 3
@@ -38,9 +38,11 @@ SPARE, SPARE_EACH = 2, 4
 COORDINATES = 64
 FANOUT = 8
 #: Sets of a region compared in one task by their points, and by their texts; shingles of the latter, about.
-POINTS = 2048
+POINTS = 512
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
+#: Keys that a task brings together before it sends them, at least.
+MET = 1 << 19
 #: Pairs of boxes that are compared at a time, and edges that are passed on at a time.
 STEP = 1 << 15
 
@@ -142,16 +144,24 @@ def _star(keys: np.ndarray, owners: np.ndarray, new: np.ndarray) -> np.ndarray:
 def candidate_edges(docs: DataFrame, k: int, percent: int, size: int = 0) -> DataFrame:
     """(u, v): different sets, by hash, that are connected in their region; ``size`` is that of all sets together.
 
-    Sets that share a key in a task are found there, and one of them stands for all in the exchange: a key
-    that very many sets have is met as often as there are tasks.
+    Sets that share a key among MET keys of a task are found there, and one of them stands for all in the exchange: a
+    key that very many sets have is sent a few times by each task.
     """
     parts = partitions(docs.sparkSession, 12 * size)
 
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, lower, sizes = Hasher(), lower_table(), Sizes(percent)
+        seen: set[int] = set()
+        keys, owners, marks = [], [], []
+
+        def met() -> Iterator[pa.RecordBatch]:
+            (key, owner, mark), new = _sorted(np.concatenate(keys), np.concatenate(owners), np.concatenate(marks))
+            yield deal(key[new], [owner[new], mark[new]], parts)
+            many = np.bincount(_leaders(new), minlength=len(key))[_leaders(new)] > 1
+            yield deal(owner[many], [key[many], mark[many]], parts, kind=1)
+
         for batch in batches:
-            seen: set[int] = set()
-            keys, owners, marks = [], [], []
             for chunk in chunks(batch.column("text")):
                 for found in shingles(chunk, hasher, lower, k):
                     own = _class(len(found), identity(found)[0]) if len(found) else 0
@@ -164,18 +174,20 @@ def candidate_edges(docs: DataFrame, k: int, percent: int, size: int = 0) -> Dat
                         keys.append(got)
                         owners.append(np.full(len(got), own, U64))
                         marks.append(np.full(len(got), min(need, NEED) | (LOWER if at < level else 0), np.uint16))
-            if keys:
-                (key, owner, mark), new = _sorted(np.concatenate(keys), np.concatenate(owners), np.concatenate(marks))
-                yield deal(key[new], [owner[new], mark[new]], parts)
-                many = np.bincount(_leaders(new), minlength=len(key))[_leaders(new)] > 1
-                yield deal(owner[many], [key[many], mark[many]], parts, kind=1)
+                if sum(map(len, keys)) >= MET:
+                    yield from met()
+                    seen, keys, owners, marks = set(), [], [], []
+        if keys:
+            yield from met()
 
+    @lean
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (keys, owners, marks), known = unpack_kinds(batches, MEMBER, MEMBER)
         (key, owner, mark), new = _sorted(keys, owners, marks)
         many = np.bincount(_leaders(new), minlength=len(key))[_leaders(new)] > 1
         yield deal(np.concatenate([owner[many], known[0]]), [np.concatenate([key[many], known[1]]), np.concatenate([mark[many], known[2]])], parts)
 
+    @lean
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         [columns] = unpack_kinds(batches, MEMBER)
         (owner, key, mark), _ = _sorted(*columns)
@@ -188,6 +200,7 @@ def candidate_edges(docs: DataFrame, k: int, percent: int, size: int = 0) -> Dat
         edges = _star(key, owner, new)
         yield deal(edges[:, 0].copy(), [edges[:, 1].copy()], parts, kind=1)
 
+    @lean
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (keys, owners), known = unpack_kinds(batches, (U64,), (U64,))
         (key, owner), new = _sorted(keys, owners)
@@ -206,6 +219,7 @@ IDENTITY = "doc_id long,n_shingles long,h1 long,h2 long,set_class long,point bin
 def identities(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, set_class, point): the size, hashes and group counts of each row's set."""
 
+    @lean
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, lower = Hasher(), lower_table()
         for batch in batches:
@@ -435,6 +449,7 @@ def near_regions(members: DataFrame, percent: int) -> DataFrame:
     Only points are moved here, so that a text is moved with those it may really be linked with.
     """
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, points, sides = None, [], [], []
 
@@ -468,6 +483,7 @@ def region_links(members: DataFrame, docs: DataFrame, k: int, percent: int, coun
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sent(members.select("doc_id").distinct()), "doc_id", "left_semi")
     dealt = _dealt(texts.join(work, "doc_id").select("text", "set_class", "copies", *UNIT, "side"))
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, lower = Hasher(), lower_table()
         now, ids, sets, sides, copies, known = None, [], [], [], [], set()

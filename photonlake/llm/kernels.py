@@ -7,7 +7,10 @@ the partition or the process, so that independent tasks agree and a retried task
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -20,6 +23,24 @@ Batches = Iterator[pa.RecordBatch]
 U64 = np.uint64
 
 
+def lean(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``work`` on a partition; afterwards memory that its arrays took goes back to the system.
+
+    Workers outlive their tasks, and what allocators keep for later adds up beside the JVM's heap.
+    """
+
+    @functools.wraps(work)
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 class Chunk(NamedTuple):
     """Some consecutive documents of a batch: rows [first, first + len(offsets) - 1)."""
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.llm.graph import cut, discard, sent
-from photonlake.llm.kernels import Hasher, chunks, inside, lower_table, signed, windows, words
+from photonlake.llm.kernels import Hasher, chunks, inside, lean, lower_table, signed, windows, words
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
@@ -193,6 +193,7 @@ _OCCURRENCE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("
 def findings(docs: DataFrame) -> DataFrame:
     """For each row of ``docs`` the spans of the fixed formats, and all occurrences, from one pass over whole texts."""
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
@@ -242,6 +243,7 @@ def totals(docs: DataFrame, candidates: DataFrame) -> DataFrame:
         hashes = _hashes(cues)
         known = np.unique(hashes)
 
+        @lean
         def count(batches: Iterator[pa.RecordBatch], known: np.ndarray = known) -> Iterator[pa.RecordBatch]:
             hasher, table = Hasher(), _levelled()
             sums = np.zeros(len(known), np.int64)

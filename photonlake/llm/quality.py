@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.llm.folds import drawn, held_out
-from photonlake.llm.kernels import U64, Hasher, chunks, inside, mix, schema_of, windows, words
+from photonlake.llm.kernels import U64, Hasher, chunks, inside, lean, mix, schema_of, windows, words
 
 #: Learned from about so many documents of each label (all where there are fewer).
 SAMPLE_PER_LABEL = 4000
@@ -58,6 +58,7 @@ def _table(chars: str) -> np.ndarray:
 def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id and COUNTS) of each row's whole text; all 0 for a null or empty text."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         tables = {"n_symbols": _table("#*$%&|<>"), "n_upper": _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "n_marks": _table("!?;:\"'()[]{}=+~^_\\/@")}
