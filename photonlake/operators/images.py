@@ -2,6 +2,7 @@
 
 Pictures are decoded once, and all features of a picture are computed together.  Spark's image source
 decodes JPEG, PNG, GIF and BMP in the JVM; WebP has no decoder there, so only its header is read.
+Thumbnails are JPEG files, written by :mod:`photonlake.sources.thumbnails`.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photonlake.functions import jpeg
 from photonlake.functions.columns import clean_place, clean_text, display_size, exif_time, quality_scores
 
-LONG_EDGE, THUMBNAIL_EDGE, BACKGROUND = 512, 400, 0xEE
+LONG_EDGE, THUMBNAIL_EDGE, THUMBNAIL_QUALITY, BACKGROUND = 512, 400, 82, 0xEE
 MEASURED = "phash long, raw_laplacian_variance double, mean_luminance double, deviation double, shadow_clipping double, highlight_clipping double"
 
 
@@ -45,9 +47,29 @@ def resize(image: np.ndarray, width: int, height: int, kernel: str = "cubic") ->
     return np.moveaxis(np.tensordot(_weights(w, width, kernel), rows, (1, 1)), 0, 1)
 
 
+def _neighbours(source: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of an axis of ``target`` pixels the two of ``source`` around its middle, and the weight of the second."""
+    at = (np.arange(target) + 0.5) * (source / target) - 0.5
+    first = np.floor(at).astype(int)
+    weight = at - first
+    outside = (first < 0) | (first + 1 > source - 1)
+    first = np.clip(first, 0, source - 1)
+    return first, np.where(outside, first, first + 1), np.where(outside, 0.0, weight)
+
+
+def sampled(rgb: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Each pixel from the four around its middle, in 16 bits a channel, cut to 8."""
+    top, bottom, down = _neighbours(rgb.shape[0], height)
+    left, right, across = _neighbours(rgb.shape[1], width)
+    deep = lambda rows, columns: rgb[rows][:, columns].astype(float) * 257
+    rows = [(1 - across)[None, :, None] * deep(r, left) + across[None, :, None] * deep(r, right) for r in (top, bottom)]
+    mixed = (1 - down)[:, None, None] * rows[0] + down[:, None, None] * rows[1]
+    return (mixed.astype(np.int64) >> 8).astype(np.uint8)
+
+
 def dhash(rgb: np.ndarray) -> int:
     """64 comparisons of neighbours in a 9 by 8 picture, row by row from the lowest bit; as a signed long."""
-    grey = luma(np.clip(np.rint(resize(rgb, 9, 8, "linear")), 0, 255))
+    grey = luma(sampled(rgb[..., :3], 9, 8).astype(float))
     bits = (grey[:, :-1] > grey[:, 1:]).ravel()
     value = int(np.sum(np.where(bits, np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64)), np.uint64(0)), dtype=np.uint64))
     return value - (1 << 64) if value >> 63 else value
@@ -147,8 +169,11 @@ def measured(rows: DataFrame, key: str) -> DataFrame:
     return found.withColumns({name: F.when(known, c).otherwise(F.array().cast("array<string>")) if name == "quality_flags" else F.when(known, c) for name, c in scores.items()}).drop("deviation")
 
 
-def thumbnails(rows: DataFrame, key: str, edge: int = THUMBNAIL_EDGE) -> DataFrame:
-    """(key, width, height, bytes) of rows (key, image, orientation), as PNG; null where decoding failed."""
+def thumbnails(rows: DataFrame, key: str, edge: int = THUMBNAIL_EDGE, quality: int | None = None) -> DataFrame:
+    """(key, width, height, bytes) of rows (key, image, orientation); null where decoding failed.
+
+    PNG, without loss, or JPEG of a quality where one is given: THUMBNAIL_QUALITY is that of stored ones.
+    """
     kind = dict(rows.dtypes)[key]
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +182,7 @@ def thumbnails(rows: DataFrame, key: str, edge: int = THUMBNAIL_EDGE) -> DataFra
             for height, width, channels, data, turn in zip(*(batch.column(c).to_pylist() for c in ("height", "width", "nChannels", "data", "orientation")), strict=True):
                 image = _raster(height, width, channels, data)
                 small = None if image is None else thumbnail(image, turn or 1, edge)
-                out.append((None, None, None) if small is None else (small.shape[1], small.shape[0], png(small)))
+                out.append((None, None, None) if small is None else (small.shape[1], small.shape[0], png(small) if quality is None else jpeg.encode(small, quality)))
             found = list(zip(*out, strict=True)) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c, k) for c, k in zip(found, (pa.int32(), pa.int32(), pa.binary()), strict=True))], names=[key, "thumbnail_width", "thumbnail_height", "thumbnail"])
 
@@ -251,9 +276,13 @@ def _degrees(parts: object, ref: object) -> float | None:
 RAW = "detected_format string, raw_width int, raw_height int, raw_orientation int, make string, model string, original string, digitized string, time string, raw_latitude double, raw_longitude double, half_place boolean"
 
 
-def metadata(files: DataFrame, key: str = "path") -> DataFrame:
-    """What the header and EXIF of rows (key, content, modificationTime) tell; a file that is no image is failed."""
+def metadata(files: DataFrame, key: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
+    """What the header and EXIF of rows (key, content, modificationTime) tell; a file that is no image is failed.
+
+    The columns ``keep`` are passed on, so that what is made of the same contents needs no second read.
+    """
     kind = dict(files.dtypes)[key]
+    passed = [key, *keep]
     names = [x.split()[0] for x in RAW.split(", ")]
     kinds = [{"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]] for x in RAW.split(", ")]
 
@@ -271,9 +300,10 @@ def metadata(files: DataFrame, key: str = "path") -> DataFrame:
                 turn = x.get("orientation")
                 out.append((*head[:3], turn if isinstance(turn, int) else None, text("make"), text("model"), text("original"), text("digitized"), text("time"), lat, lon, (lat is None) != (lon is None)))
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("modificationTime"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, "modificationTime", *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*passed, "modificationTime")), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*passed, "modificationTime", *names])
 
-    rows = files.select(key, "modificationTime", "content").mapInArrow(read, f"{key} {kind}, modificationTime timestamp, {RAW}")
+    kept = "".join(f", {c} {dict(files.dtypes)[c]}" for c in keep)
+    rows = files.select(*passed, "modificationTime", "content").mapInArrow(read, f"{key} {kind}{kept}, modificationTime timestamp, {RAW}")
     good = F.col("raw_orientation").between(1, 8)
     turn = F.when(good, F.col("raw_orientation"))
     width, height = display_size(F.col("raw_width"), F.col("raw_height"), F.coalesce(turn, F.lit(1)))
@@ -290,7 +320,7 @@ def metadata(files: DataFrame, key: str = "path") -> DataFrame:
     )
     image = F.col("detected_format").isNotNull()
     return rows.select(
-        key, "detected_format", width.alias("width"), height.alias("height"), turn.alias("orientation"), F.when(image, F.coalesce(taken, F.col("modificationTime"))).alias("captured_at"),
+        *passed, "detected_format", width.alias("width"), height.alias("height"), turn.alias("orientation"), F.when(image, F.coalesce(taken, F.col("modificationTime"))).alias("captured_at"),
         F.when(image & taken.isNotNull(), "exif").when(image & F.col("modificationTime").isNotNull(), "filesystem").alias("captured_at_source"), lat.alias("latitude"), lon.alias("longitude"),
         clean_text(F.col("make")).alias("camera_make"), clean_text(F.col("model")).alias("camera_model"), F.when(image, "processing").otherwise("failed").alias("state"),
         F.when(~image, "not an image").when(F.size(warnings) > 0, F.concat(F.lit("metadata warnings: "), F.concat_ws("; ", warnings))).alias("last_error"),
@@ -299,4 +329,4 @@ def metadata(files: DataFrame, key: str = "path") -> DataFrame:
 
 def pictures(spark: SparkSession, root: str) -> DataFrame:
     """(path, image) of the files below a folder, decoded, with paths as binaryFile gives them; what can't be decoded has a height of -1."""
-    return spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,jpe,png,JPG,JPEG,JPE,PNG}").load(root).select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), "image")
+    return spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[jJ][pP][eE],[pP][nN][gG]}").load(root).select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), "image")

@@ -31,22 +31,30 @@ def photos(spark: SparkSession, root: str, library_id: str = "library", entries:
     if entries is not None:
         listed = listed.join(scan.found(entries).select("relative_path"), "relative_path", "left_semi")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).join(listed.select("path"), "path", "left_semi")
-    hashes = scan.content_features(files).select("path", "sha256", "file_size_bytes")
-    meta = images.metadata(files)
+    read = files.withColumns({"sha256": F.sha2("content", 256), "file_size_bytes": F.octet_length("content").cast("long"), "file_modified_at": F.col("modificationTime")})
+    meta = images.metadata(read, keep=("sha256", "file_size_bytes", "file_modified_at"))
     pixels = images.measured(images.pictures(spark, root), "path").drop("width", "height")
-    joined = listed.join(hashes, "path").join(meta, "path").join(pixels, "path", "left")
+    joined = listed.join(meta, "path").join(pixels, "path", "left")
     done = F.current_timestamp()
     return joined.withColumns(
         {
             "photo_id": F.left(F.sha2(F.concat_ws("\n", "library_id", "relative_path"), 256), F.lit(32)),
             "quality_flags": F.coalesce("quality_flags", F.array().cast("array<string>")),
+            "original_filename": F.substring_index("relative_path", "/", -1),
             "hashed_at": done,
             "metadata_extracted_at": done,
+            **{c: F.lit(None).cast("int") for c in ("thumbnail_width", "thumbnail_height", "thumbnail_bytes")},
             "created_seconds": F.lit(0).cast("long"),
         }
     ).drop("path")
 
 
+def marked(rows: DataFrame, now: object) -> DataFrame:
+    """``rows`` of :func:`photos` with the marks of the stages that need pixels; thumbnails are still to be made."""
+    done = F.when(F.col("state") != "failed", F.lit(now).cast("timestamp"))
+    return rows.withColumns({"phashed_at": done, "quality_analyzed_at": done, "thumbnailed_at": F.lit(None).cast("timestamp")})
+
+
 def run(spark: SparkSession, root: str, library_id: str = "library", threshold: int = 0, gap_seconds: float = 0, radius_metres: float = 0, entries: DataFrame | None = None) -> Analysis:
     """Everything about the photos of a folder; running it again gives the same rows."""
     rows = cut(photos(spark, root, library_id, entries))

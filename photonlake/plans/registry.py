@@ -690,3 +690,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     # Small rows, long work: dealt to all cores, whatever the files' layout.
     rows = t.table(spark, d, "embeddings").repartition(spark.sparkContext.defaultParallelism).select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), pixels.alias("grey"))
     return images.measured(images.from_grey(rows, "vec_id"), "vec_id")
+
+
+_PIXELS = "select vec_id, list_transform(embedding, lambda x: floor(greatest(0.0::double, least(255.0::double, 127.5::double + 60 * x::double)))::bigint) as v from embeddings"
+_SAMPLES = """
+samples as (select vec_id, v, y, x, (x + 0.5::double) * (8 / 9::double) - 0.5 as pos from pixels, range(8) r(y), range(9) c(x)),
+mixed as (select vec_id, y, x, case when pos < 0 then (v[y * 8 + 1] * 257) // 256 when floor(pos) >= 7 then (v[y * 8 + 8] * 257) // 256
+  else floor((1 - (pos - floor(pos))) * (v[y * 8 + floor(pos)::int + 1] * 257) + (pos - floor(pos)) * (v[y * 8 + floor(pos)::int + 2] * 257))::bigint // 256 end as c from samples)"""
+
+
+@query(
+    "image_hashes",
+    f"with pixels as ({_PIXELS}), {_SAMPLES.strip()} select a.vec_id, lpad(lower(to_hex(bit_or(case when a.c > b.c then 1::ubigint << (a.y * 8 + a.x)::ubigint else 0::ubigint end))), 16, '0') as phash from mixed a join mixed b on a.vec_id = b.vec_id and a.y = b.y and b.x = a.x + 1 group by a.vec_id",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Perceptual hashes of the pictures of image_features, with pixels that all engines cut alike."""
+    pixels = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), 127.5 + 60 * x.cast("double")))).cast("int"))
+    rows = t.table(spark, d, "embeddings").repartition(spark.sparkContext.defaultParallelism).select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), pixels.alias("grey"))
+    return images.measured(images.from_grey(rows, "vec_id"), "vec_id").select("vec_id", C.hex64(F.col("phash")).alias("phash"))

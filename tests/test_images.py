@@ -5,9 +5,11 @@ import struct
 import numpy as np
 import pytest
 
+from photonlake.functions import jpeg as encoder
 from photonlake.operators import images
 from photonlake.plans import pipeline
 from photonlake.sources import scan
+from photonlake.sources import thumbnails as stored
 from photonlake.streaming import incremental
 
 
@@ -160,6 +162,51 @@ def test_thumbnails(spark, folder):
     assert got["broken.png"]["thumbnail"] is None
 
 
+@pytest.mark.parametrize(("shape", "quality"), [((1, 1), 82), ((37, 50), 82), ((64, 64), 30), ((16, 9), 100)])
+def test_jpeg_is_read_back(spark, tmp_path, shape, quality):
+    y, x = np.mgrid[0 : shape[0], 0 : shape[1]]
+    picture = np.stack([128 + 90 * np.sin(x / 9), 128 + 80 * np.cos(y / 7), 2 * x + y], 2).astype(np.uint8)
+    data = encoder.encode(picture, quality)
+    assert images.header(data)[:3] == ("jpeg", shape[1], shape[0])
+    (tmp_path / "x.JpG").write_bytes(data)
+    (row,) = images.pictures(spark, str(tmp_path)).collect()
+    image = row["image"]
+    got = np.frombuffer(bytes(image["data"]), np.uint8).reshape(image["height"], image["width"], 3)[..., ::-1]
+    assert got.shape == picture.shape and np.abs(got.astype(int) - picture).mean() < (12 if quality < 50 else 5)
+
+
+def test_thumbnails_are_stored_whole(spark, folder, tmp_path_factory):
+    from pyspark.sql import functions as F
+
+    out = tmp_path_factory.mktemp("thumbnails")
+    digits = F.md5("path")
+    key = F.concat_ws("-", F.substring(digits, 1, 8), F.substring(digits, 9, 4), F.substring(digits, 13, 4), F.substring(digits, 17, 4), F.substring(digits, 21, 12))
+    rows = images.thumbnails(images.pictures(spark, str(folder)).withColumn("orientation", F.lit(1)), "path", quality=images.THUMBNAIL_QUALITY).withColumn("photo_id", key)
+    for _ in range(2):
+        got = stored.write(rows, str(out)).collect()
+        files = sorted(str(p) for p in out.rglob("*") if p.is_file())
+        assert files == sorted(r["path"] for r in got) and len(files) == rows.where("thumbnail is not null").count() > 2
+    for r in got:
+        data = stored.path_for(str(out), r["photo_id"]).read_bytes()
+        assert len(data) == r["thumbnail_bytes"] and images.header(data)[:3] == ("jpeg", r["thumbnail_width"], r["thumbnail_height"])
+    with pytest.raises(Exception, match="not canonical"):
+        stored.write(rows.withColumn("photo_id", F.lit("../x")), str(out)).collect()
+
+
+def test_names_in_any_case_have_pixels(spark, tmp_path):
+    for name in ("a.Png", "b.pNG", "c.png", "d.PNG"):
+        (tmp_path / name).write_bytes(images.png(scene(4, 40, 30)))
+    rows = pipeline.photos(spark, str(tmp_path)).collect()
+    assert pipeline.marked(pipeline.photos(spark, str(tmp_path)), "2026-01-01 00:00:00").where("phashed_at is not null and thumbnailed_at is null").count() == 4
+    assert len(rows) == 4 and all(r["phash"] is not None and r["quality_score"] is not None for r in rows)
+
+
+def test_samples_lie_between_their_neighbours():
+    a = np.array([[0, 255]], np.uint8)[..., None].repeat(3, 2)
+    assert images.sampled(a, 2, 1)[0, :, 0].tolist() == [0, 255] and images.sampled(a, 4, 1)[0, :, 0].tolist() == [0, 63, 191, 255]
+    assert images.sampled(a, 1, 3)[:, 0, 0].tolist() == [127] * 3
+
+
 def test_arriving_files(spark, folder, tmp_path_factory):
     out = tmp_path_factory.mktemp("stream")
     q = incremental.arriving(spark, str(folder)).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(out)).trigger(availableNow=True).start()
