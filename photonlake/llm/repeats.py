@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.llm.graph import cut, sent
-from photonlake.llm.kernels import DEALT, U64, Chunk, Hasher, Words, chunks, deal, inside, meeting, mix, partitions, schema_of, signed, unpack, windows, words
+from photonlake.llm.kernels import DEALT, U64, Chunk, Hasher, Words, chunks, deal, inside, lean, meeting, mix, partitions, schema_of, signed, unpack, unpack_kinds, windows, words
 
 WINDOW = 13
 ROUNDS = 4
+#: Tuples that a task brings together before it sends them, at least.
+MET = 1 << 18
 
 
 def _beside(near: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +126,7 @@ IDENTITY = "doc_id long,n_words long,h1 long,h2 long,kept_sha256 string"
 def identities(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, h1, h2, kept_sha256) of each row's words, joined by one space."""
 
+    @lean
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
@@ -151,13 +154,37 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: str, values: str) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(signed(keys[own[:-1]])), pa.array([found[a:b].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary())], names=[key, values])
 
 
-def shared_anchors(docs: DataFrame) -> DataFrame:
-    """(h1, anchors): of each word sequence, by hash, the anchors that another one has too."""
+def _shared(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, owners) in order and each once; where a key begins, and where it has several owners."""
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    fresh = new.copy()
+    fresh[1:] |= owners[1:] != owners[:-1]
+    keys, owners, new = keys[fresh], owners[fresh], new[fresh]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return keys, owners, new, np.bincount(first, minlength=len(new))[first] > 1
+
+
+def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
+    """(h1, anchors): of each word sequence, by hash, the anchors that another one has too.
+
+    Sequences of a task that share an anchor are found there, and one of them stands for all in the exchange: an
+    anchor that very many have is sent a few times by each task.
+    """
     def make(parts: int):  # noqa: ANN202
+        @lean
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = Hasher()
+            keys, owners = [], []
+
+            def met() -> Iterator[pa.RecordBatch]:
+                key, owner, new, many = _shared(np.concatenate(keys), np.concatenate(owners))
+                yield deal(key[new], [owner[new]], parts)
+                yield deal(owner[many], [key[many]], parts, kind=1)
+
             for batch in batches:
-                keys, owners = [], []
                 for chunk in chunks(batch.column("text")):
                     found, hashes = _hashes(chunk, hasher)
                     sequence = _sequences(hashes, found)[0]
@@ -165,43 +192,59 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
                     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])[: len(anchor)]
                     keys.append(anchor[new])
                     owners.append(sequence[doc[new]])
-                if keys:
-                    yield deal(np.concatenate(keys), [np.concatenate(owners)], parts)
+                    if sum(map(len, keys)) >= MET:
+                        yield from met()
+                        keys, owners = [], []
+            if keys:
+                yield from met()
 
         return emit
 
     def meet_with(parts: int):  # noqa: ANN202
+        @lean
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, owners = unpack(batches)
-            order = np.lexsort((owners, keys))
-            keys, owners = keys[order], owners[order]
-            fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])])[: len(keys)]
-            keys, owners = keys[fresh], owners[fresh]
-            same = keys[1:] == keys[:-1]
-            shared = np.concatenate([[False], same])[: len(keys)] | np.concatenate([same, [False]])[: len(keys)]
-            if shared.any():
-                yield deal(owners[shared], [keys[shared]], parts)
+            found, known = unpack_kinds(batches, (U64,), (U64,))
+            key, owner, _, many = _shared(*found)
+            yield deal(np.concatenate([owner[many], known[0]]), [np.concatenate([key[many], known[1]])], parts)
 
         return meet
 
-    parts = partitions(docs.sparkSession)
     found = meeting(docs.select("text").mapInArrow(make(parts), DEALT), parts).mapInArrow(meet_with(parts), DEALT)
-    return meeting(found, parts).mapInArrow(lambda batches: _by_key(batches, "h1", "anchors"), "h1 long, anchors binary")
+    return meeting(found, parts).mapInArrow(lean(lambda batches: _by_key(batches, "h1", "anchors")), "h1 long, anchors binary")
+
+
+def _late(keys: np.ndarray, other: np.ndarray, ids: np.ndarray, owners: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The tuples by window, and which of them are of a document that isn't the window's least."""
+    docs = signed(ids)
+    order = np.lexsort((docs, other >> U64(32), keys))
+    keys, other, docs, owners = keys[order], other[order], docs[order], owners[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (other[1:] >> U64(32) != other[:-1] >> U64(32))
+    least = docs[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+    return (keys, other, docs.view(U64), owners), docs > least
 
 
-def repeated_windows(texts: DataFrame) -> DataFrame:
+def repeated_windows(texts: DataFrame, parts: int) -> DataFrame:
     """(h1, doc_id, at): the windows of the rows (doc_id, h1, text, anchors) that start in a row with a smaller doc_id too.
 
-    Only windows with one of the row's shared anchors are looked at; ``at`` has their first words.
+    Only windows with one of the row's shared anchors are looked at; ``at`` has their first words.  Of the rows of a
+    task that share a window, only those with the least doc_id go on; the others are settled.
     """
     def make(parts: int):  # noqa: ANN202
+        @lean
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = Hasher()
+            got: list[list[np.ndarray]] = [[] for _ in range(4)]
+
+            def met() -> Iterator[pa.RecordBatch]:
+                (key, other, ids, owner), late = _late(*(np.concatenate(own) for own in got))
+                yield deal(key[~late], [other[~late], ids[~late], owner[~late]], parts)
+                yield deal(owner[late], [ids[late], other[late] & U64(0xFFFFFFFF)], parts, kind=1)
+
             for batch in batches:
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 owners = batch.column("h1").to_numpy(zero_copy_only=False).astype(np.int64)
                 known = batch.column("anchors")
-                got: list[list[np.ndarray]] = [[] for _ in range(4)]
                 for chunk in chunks(batch.column("text")):
                     found, hashes = _hashes(chunk, hasher)
                     whole = windows(hashes, WINDOW)
@@ -216,26 +259,24 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
                     place = (at - found.lo[doc]).astype(U64)
                     for own, values in zip(got, (whole[at] if len(at) else other, (other & U64(0xFFFFFFFF00000000)) | place, ids[chunk.first + doc].view(U64), owners[chunk.first + doc].view(U64)), strict=True):
                         own.append(values)
-                if got[0]:
-                    keys, *values = (np.concatenate(own) for own in got)
-                    yield deal(keys, values, parts)
+                    if sum(map(len, got[0])) >= MET:
+                        yield from met()
+                        got = [[] for _ in range(4)]
+            if got[0]:
+                yield from met()
 
         return emit
 
     def meet_with(parts: int):  # noqa: ANN202
+        @lean
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, other, ids, owners = unpack(batches, 3)
-            docs = signed(ids)
-            order = np.lexsort((docs, other >> U64(32), keys))
-            keys, other, docs, owners = keys[order], other[order], docs[order], owners[order]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (other[1:] >> U64(32) != other[:-1] >> U64(32))])[: len(keys)]
-            least = docs[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))] if len(keys) else docs
-            late = docs > least
-            if late.any():
-                yield deal(owners[late], [docs[late].view(U64), other[late] & U64(0xFFFFFFFF)], parts)
+            found, (owners, settled, places) = unpack_kinds(batches, (U64,) * 3, (U64,) * 2)
+            (_, other, ids, owner), late = _late(*found)
+            yield deal(np.concatenate([owner[late], owners]), [np.concatenate([ids[late], settled]), np.concatenate([other[late] & U64(0xFFFFFFFF), places])], parts)
 
         return meet
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners, ids, at = unpack(batches, 2)
         order = np.lexsort((ids, owners))
@@ -245,7 +286,6 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
             own = cuts[first : first + 4097]
             yield pa.RecordBatch.from_arrays([pa.array(signed(owners[own[:-1]])), pa.array(signed(ids[own[:-1]])), pa.array([at[a:b].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary())], names=["h1", "doc_id", "at"])
 
-    parts = partitions(texts.sparkSession)
     found = meeting(texts.mapInArrow(make(parts), DEALT), parts).mapInArrow(meet_with(parts), DEALT)
     return meeting(found, parts).mapInArrow(rows, "h1 long, doc_id long, at binary")
 
@@ -255,6 +295,7 @@ def _with_text(docs: DataFrame, rows: DataFrame, values: str) -> DataFrame:
     doc_id may come with several.  Texts that no row asks for are left out before the shuffle.
     """
 
+    @lean
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
@@ -272,6 +313,7 @@ CUTS = "h1 long,doc_id long,n_removed long,kept_sha256 string,ranges string"
 def remove(texts: DataFrame) -> DataFrame:
     """(h1, doc_id, n_removed, kept_sha256, ranges) of rows (h1, doc_id, text, at): what is left without the windows."""
 
+    @lean
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, ranges = [], [], []
@@ -302,9 +344,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = cut(identities(docs))
     first = rows.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("n_words", "h1", "h2").agg(F.min("doc_id").alias("first"))
     first = cut(first)
-    asked = cut(first.select(F.col("first").alias("doc_id"), "h1").join(shared_anchors(docs), "h1"))
+    parts = partitions(docs.sparkSession, 4 * int(first.agg(F.sum("n_words")).first()[0] or 0))
+    asked = cut(first.select(F.col("first").alias("doc_id"), "h1").join(shared_anchors(docs, parts), "h1"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    late = cut(repeated_windows(_with_text(own, asked, "anchors")))
+    late = cut(repeated_windows(_with_text(own, asked, "anchors"), parts))
     found = remove(_with_text(own, late, "at"))
     found = found.select("h1", "doc_id", "n_removed", F.col("kept_sha256").alias("left"), "ranges").dropDuplicates(["h1", "doc_id"])
     all_ = rows.join(first, ["n_words", "h1", "h2"], "left").join(found, ["h1", "doc_id"], "left")
