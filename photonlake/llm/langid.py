@@ -17,11 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.llm.folds import drawn, held_out
-from photonlake.llm.kernels import chunks, is_space, lower_table, schema_of
+from photonlake.llm.kernels import chunks, is_space, lean, lower_table, schema_of
 
-#: Learned from about so many documents of a language (all where there are fewer), of at most so many characters.
+#: Learned from about so many documents of a language (all where there are fewer), whole texts of any length.
 SAMPLE_PER_LANGUAGE = 400
-SAMPLE_CHARS = 50_000
 #: Hashed features; lengths of the byte n-grams.
 FEATURES = 4096
 GRAMS = (1, 2, 3)
@@ -122,9 +121,10 @@ def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def learn(docs: DataFrame) -> Model | None:
     """A model of the languages of ``docs``; None where no row has a text and a language to learn from."""
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = drawn(known, "lang", "doc_id", SAMPLE_PER_LANGUAGE).select("doc_id", "text", "lang")
 
+    @lean
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, x, letter in features(batch.column("text")):
@@ -147,6 +147,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     there is no model.  Equal texts get equal answers; other columns, null ids included, change nothing.
     """
 
+    @lean
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score, doubt = [UNKNOWN] * len(batch), np.zeros(len(batch)), np.zeros(len(batch), bool)

@@ -12,18 +12,22 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.llm.folds import drawn, held_out
-from photonlake.llm.kernels import Chunk, chunks, is_space, lower_table, schema_of, spread, words
+from photonlake.llm.graph import sent
+from photonlake.llm.kernels import Chunk, chunks, is_space, lean, lower_table, schema_of, spread, words
 
-#: Learned from about so many documents of each label (all where there are fewer), of at most so many characters.
+#: Learned from about so many documents of each label (all where there are fewer), of any length.
 SAMPLE_PER_LABEL = 1000
+#: Characters of a text that serve for fitting, and in how many pieces they are taken from a longer one.
 SAMPLE_CHARS = 12_000
+SAMPLE_PIECES = 8
 #: Lengths of n-grams in bytes, the word's two edges included; hashed vectors and their length.
 GRAMS = (3, 4, 5, 6)
-BUCKETS = 1 << 17
+BITS = 20
+BUCKETS = 1 << BITS
 DIM = 8
 #: N-grams get a vector if their documents differ so much between labels, by the log-likelihood ratio, or
 #: if they are in such a share (and number) of documents; rarer ones would only be learned by heart.
@@ -68,7 +72,7 @@ def grams(chunk: Chunk) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray,
         code = code[:m] * np.uint32(0x01000193) + text[k - 1 : k - 1 + m] + np.uint32(1)
         if k in GRAMS:
             mixed = (code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-            buckets.append((mixed >> np.uint32(32 - 17)).astype(np.int32))
+            buckets.append((mixed >> np.uint32(32 - BITS)).astype(np.int32))
             valid.append(blanks[k - 2 : k - 2 + m] == blanks[:m])
     return buckets, valid, begins - 1, found.lo, found.hi
 
@@ -103,15 +107,30 @@ def peaks(scores: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
-    """Vectors and softmax fitted to windows, then scores fitted to documents.
+    """Vectors and softmax fitted to windows, and a sigmoid from a document's peak to its label.
+
+    A fifth of the documents is left out of the first fit and serves for the sigmoid only; then all are fitted.
+    """
+    hold = np.arange(len(texts)) % 5 == 0
+    column = pa.array(texts, pa.large_string())
+    first = _fitted(column, labels, hold)
+    if first is None:
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0)
+    bucket, bias = first
+    tops = np.full(len(texts), -np.inf)
+    for chunk in chunks(column):
+        tops[chunk.first : chunk.first + len(chunk.offsets) - 1] = peaks(*word_scores(chunk, bucket))
+    slope, shift = _sigmoid(tops[hold] + bias, labels[hold], weights[hold])
+    bucket, bias = _fitted(column, labels, np.zeros(len(texts), bool))
+    return Model(bucket.astype(np.float32), bias, slope, shift)
+
+
+def _fitted(column: pa.Array, labels: np.ndarray, hold: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """Each bucket's part of the log odds, fitted to the windows of the documents that aren't held; None without words.
 
     Which windows of a toxic document are toxic isn't known: at first those with the n-grams that are
     over-represented in toxic documents, later those that the fit takes to be; the others count as clean.
-    A fifth of the documents serve only for the last step: a
-    sigmoid from a document's peak to its label.
     """
-    column = pa.array(texts, pa.large_string())
-    hold = np.arange(len(texts)) % 5 == 0
     vocabulary: dict[bytes, int] = {}
     piece_words: list[np.ndarray] = []
     piece_docs: list[int] = []
@@ -133,14 +152,9 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
                     piece_words.append(ids[at : at + WINDOW])
                     piece_docs.append(chunk.first + i)
     if not vocabulary:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0)
+        return None
     token_docs = (np.concatenate(spread_of), np.concatenate(spread_docs))
-    bucket, bias = _vectors(vocabulary, token_docs, piece_words, np.array(piece_docs, np.int64), labels)
-    tops = np.full(len(texts), -np.inf)
-    for chunk in chunks(column):
-        tops[chunk.first : chunk.first + len(chunk.offsets) - 1] = peaks(*word_scores(chunk, bucket))
-    slope, shift = _sigmoid(tops[hold] + bias, labels[hold], weights[hold])
-    return Model(bucket.astype(np.float32), bias, slope, shift)
+    return _vectors(vocabulary, token_docs, piece_words, np.array(piece_docs, np.int64), labels)
 
 
 def _vectors(vocabulary: dict[bytes, int], token_docs: tuple[np.ndarray, np.ndarray], pieces: list[np.ndarray], docs: np.ndarray, doc_labels: np.ndarray) -> tuple[np.ndarray, float]:
@@ -258,6 +272,13 @@ def _sigmoid(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(max(theta[0], 1e-3)), float(theta[1])
 
 
+def _pieces(text: Column) -> Column:
+    """A text of up to SAMPLE_CHARS; of a longer one SAMPLE_PIECES stretches from its beginning to its end, so many together."""
+    n, size = F.length(text), SAMPLE_CHARS // SAMPLE_PIECES
+    parts = [F.substr(text, F.floor((n - size) * i / (SAMPLE_PIECES - 1)).cast("int") + 1, F.lit(size)) for i in range(SAMPLE_PIECES)]
+    return F.when(n <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from the labelled, not held-out documents; None where one of the labels is missing.
 
@@ -266,9 +287,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = dict(marks.groupBy("toxic").count().collect())
     chosen = drawn(marks, "toxic", "doc_id", SAMPLE_PER_LABEL)
-    short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
     of = dict(counts)
 
+    @lean
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[tuple[str, int], int] = {}
         for batch in batches:
@@ -284,7 +305,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array([model.bucket.tobytes()], pa.binary()), *(pa.array([x]) for x in model[1:])], names=list(Model._fields))
 
     # About two times SAMPLE_PER_LABEL rows, fitted by one task, so that the driver keeps nothing but the model.
-    sample = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1)
+    sample = docs.join(sent(chosen), "doc_id").where("text is not null").select("doc_id", _pieces(F.col("text")).alias("text"), F.col("toxic").cast("int").alias("toxic")).repartition(1)
     found = sample.mapInArrow(fit, "bucket binary, bias double, slope double, shift double").first()
     return found and Model(np.frombuffer(bytes(found["bucket"]), np.float32), *found[1:])
 
@@ -307,6 +328,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     texts get equal answers; null ids and other columns change nothing.
     """
 
+    @lean
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = probabilities(batch.column("text"), model)
@@ -319,6 +341,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` that are not predicted to be toxic, null and empty texts included."""
 
+    @lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(probabilities(batch.column("text"), model) < THRESHOLD))
