@@ -64,6 +64,29 @@ def clear(spark: SparkSession) -> None:
     _remove(spark, f"{shared_folder(spark)}/cut-{spark.sparkContext.applicationId}")
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """``df`` in place of the table at ``path``: written beside it, then renamed, so that readers see the one or the other.
+
+    ``df`` may read the table that it replaces.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = path.rstrip("/")
+    new, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    df.write.parquet(new)
+    place, new_place, old_place = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, new, old))
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = files.exists(place)
+    if had and not files.rename(place, old_place):
+        raise OSError(f"{path} can't be moved")
+    if not files.rename(new_place, place):
+        if had:
+            files.rename(old_place, place)
+        raise OSError(f"{path} can't be replaced")
+    if had:
+        files.delete(old_place, True)
+
+
 def sent(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
     """``df`` computed once, and marked to be broadcast if its rows, as measured, take few bytes."""
     return measured(cut(df), most)

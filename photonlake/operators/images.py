@@ -13,13 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.functions import jpeg
 from photonlake.functions.columns import clean_place, clean_text, display_size, exif_time, quality_scores
 
 LONG_EDGE, THUMBNAIL_EDGE, THUMBNAIL_QUALITY, BACKGROUND = 512, 400, 82, 0xEE
+#: The error of a file that is no image.
+NO_IMAGE = "not an image"
+#: The error of an image whose pixels break off.
+BROKEN_OFF = "unexpected end of file"
 MEASURED = "phash long, raw_laplacian_variance double, mean_luminance double, deviation double, shadow_clipping double, highlight_clipping double"
 
 
@@ -227,6 +231,18 @@ def header(content: bytes) -> tuple[str, int, int, bytes | None] | None:
     return None
 
 
+def complete(content: bytes) -> bool:
+    """Whether a JPEG or PNG file ends where its pixels do; decoders fill up what a broken-off file lacks."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        return content.rfind(b"IEND") > 0
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 4 <= len(content) and content[at] == 0xFF:
+        if content[at + 1] == 0xDA:
+            return content.find(b"\xff\xd9", at) > 0
+        at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    return content[:2] != b"\xff\xd8"
+
+
 def tiff(block: bytes | None) -> dict[str, object]:
     """The tags of interest of a TIFF block: strings, numbers and places; what can't be read is left out."""
     if not block or block[:2] not in (b"II", b"MM"):
@@ -273,7 +289,7 @@ def _degrees(parts: object, ref: object) -> float | None:
     return -size if ref[:1] in ("S", "W") else size
 
 
-RAW = "detected_format string, raw_width int, raw_height int, raw_orientation int, make string, model string, original string, digitized string, time string, raw_latitude double, raw_longitude double, half_place boolean"
+RAW = "detected_format string, raw_width int, raw_height int, raw_orientation int, make string, model string, original string, digitized string, time string, raw_latitude double, raw_longitude double, half_place boolean, complete boolean"
 
 
 def metadata(files: DataFrame, key: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -298,7 +314,7 @@ def metadata(files: DataFrame, key: str = "path", keep: tuple[str, ...] = ()) ->
                 text = lambda n, x=x: v if isinstance(v := x.get(n), str) else None
                 lat, lon = _degrees(x.get("lat"), x.get("lat_ref")), _degrees(x.get("lon"), x.get("lon_ref"))
                 turn = x.get("orientation")
-                out.append((*head[:3], turn if isinstance(turn, int) else None, text("make"), text("model"), text("original"), text("digitized"), text("time"), lat, lon, (lat is None) != (lon is None)))
+                out.append((*head[:3], turn if isinstance(turn, int) else None, text("make"), text("model"), text("original"), text("digitized"), text("time"), lat, lon, (lat is None) != (lon is None), complete(content)))
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*passed, "modificationTime")), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*passed, "modificationTime", *names])
 
@@ -323,10 +339,16 @@ def metadata(files: DataFrame, key: str = "path", keep: tuple[str, ...] = ()) ->
         *passed, "detected_format", width.alias("width"), height.alias("height"), turn.alias("orientation"), F.when(image, F.coalesce(taken, F.col("modificationTime"))).alias("captured_at"),
         F.when(image & taken.isNotNull(), "exif").when(image & F.col("modificationTime").isNotNull(), "filesystem").alias("captured_at_source"), lat.alias("latitude"), lon.alias("longitude"),
         clean_text(F.col("make")).alias("camera_make"), clean_text(F.col("model")).alias("camera_model"), F.when(image, "processing").otherwise("failed").alias("state"),
-        F.when(~image, "not an image").when(F.size(warnings) > 0, F.concat(F.lit("metadata warnings: "), F.concat_ws("; ", warnings))).alias("last_error"),
+        F.coalesce("complete", F.lit(False)).alias("complete"),
+        F.when(~image, NO_IMAGE).when(F.size(warnings) > 0, F.concat(F.lit("metadata warnings: "), F.concat_ws("; ", warnings))).alias("last_error"),
     )
 
 
+def _decoded(path: Column) -> Column:
+    """A path without percent signs for blanks and the like; a plus sign is one."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def pictures(spark: SparkSession, root: str) -> DataFrame:
     """(path, image) of the files below a folder, decoded, with paths as binaryFile gives them; what can't be decoded has a height of -1."""
-    return spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[jJ][pP][eE],[pP][nN][gG]}").load(root).select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), "image")
+    return spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[jJ][pP][eE],[pP][nN][gG]}").load(root).select(F.regexp_replace(_decoded(F.col("image.origin")), "^file:/+", "file:/").alias("path"), "image")

@@ -79,6 +79,20 @@ def recoveries(jobs: DataFrame, executions: DataFrame, worker: object) -> DataFr
     return both.join(jobs.select(F.col("id").alias("job_id"), "status"), "job_id")
 
 
+#: What has to be done before an aggregate job of a library can run.
+NEEDED_FIRST = {"BUILD_CLUSTERS": ("EXTRACT_METADATA",), "BUILD_DUPLICATE_GROUPS": ("COMPUTE_FILE_HASH",), "BUILD_SIMILAR_GROUPS": ("COMPUTE_FILE_HASH", "COMPUTE_PERCEPTUAL_HASH", "ANALYZE_QUALITY")}
+DEFER_SECONDS = 2
+
+
+def waiting(jobs: DataFrame) -> DataFrame:
+    """(id, needed, outstanding): aggregate jobs that have to wait, with what they wait for; one row for each kind of job."""
+    pairs = F.array(*(F.struct(F.lit(a).alias("job_type"), F.lit(n).alias("needed")) for a, needed in NEEDED_FIRST.items() for n in needed))
+    first = jobs.sparkSession.range(1).select(F.explode(pairs).alias("x")).select("x.*")
+    open_ = jobs.where(F.col("status").isin("pending", "running"))
+    left = open_.groupBy("library_id", F.col("job_type").alias("needed")).agg(F.count(F.lit(1)).alias("outstanding"))
+    return open_.select("id", "job_type", "library_id").join(F.broadcast(first), "job_type").join(left, ["library_id", "needed"]).select("id", "needed", "outstanding")
+
+
 def enqueue(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Wanted (job_type, target_id, ...) without an outstanding job, each once; a finished one may be queued again."""
     open_ = jobs.where(F.col("status").isin("pending", "running")).select("job_type", "target_id")

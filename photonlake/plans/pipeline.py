@@ -25,7 +25,8 @@ class Analysis(NamedTuple):
 def photos(spark: SparkSession, root: str, library_id: str = "library", entries: DataFrame | None = None) -> DataFrame:
     """One row per supported file with all features; each is null where it couldn't be measured, never 0.
 
-    Spark's listing follows links; with the ``entries`` of a walk, only files found there count.
+    Spark's listing follows links and leaves out empty files; with the ``entries`` of a walk, exactly the files found
+    there count.
     """
     listed = scan.listing(spark, root, library_id).select("library_id", "relative_path", "path")
     if entries is not None:
@@ -35,6 +36,14 @@ def photos(spark: SparkSession, root: str, library_id: str = "library", entries:
     meta = images.metadata(read, keep=("sha256", "file_size_bytes", "file_modified_at"))
     pixels = images.measured(images.pictures(spark, root), "path").drop("width", "height")
     joined = listed.join(meta, "path").join(pixels, "path", "left")
+    # Decoders fill up what a broken-off file lacks; nothing was measured there.
+    whole, error = F.col("complete"), F.col("last_error")
+    broken = F.when(error.isNull(), images.BROKEN_OFF).otherwise(F.concat_ws("; ", error, F.lit(images.BROKEN_OFF)))
+    joined = joined.withColumns({c: F.when(whole, F.col(c)) for c in pixels.columns if c not in ("path", "quality_flags")} | {"quality_flags": F.when(whole, F.col("quality_flags")), "last_error": F.when(whole | (F.col("state") == "failed"), error).otherwise(broken)}).drop("complete")
+    if entries is not None:
+        empty = scan.found(entries).where("file_size_bytes = 0").select(F.lit(library_id).alias("library_id"), "relative_path", "file_size_bytes", "file_modified_at")
+        known = {"sha256": F.sha2(F.lit("").cast("binary"), 256), "state": F.lit("failed"), "last_error": F.lit(images.NO_IMAGE)}
+        joined = joined.unionByName(empty.withColumns(known), allowMissingColumns=True)
     done = F.current_timestamp()
     return joined.withColumns(
         {

@@ -15,6 +15,7 @@ from photonlake.operators import duplicates, events, images, ledger, search, sim
 from photonlake.operators import photos as shown
 from photonlake.operators.search import Query
 from photonlake.sources import tables as t
+from photonlake.streaming import incremental
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -708,3 +709,45 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     pixels = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), 127.5 + 60 * x.cast("double")))).cast("int"))
     rows = t.table(spark, d, "embeddings").repartition(spark.sparkContext.defaultParallelism).select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), pixels.alias("grey"))
     return images.measured(images.from_grey(rows, "vec_id"), "vec_id").select("vec_id", C.hex64(F.col("phash")).alias("phash"))
+
+
+_SPANS = "case when s < 2 then 'just now' when s < 60 then s || 's ago' when s < 3600 then s // 60 || 'm ago' else s // 3600 || 'h ago' end"
+_UPTIME = "case when s < 60 then s || 's' when s < 3600 then s // 60 || 'm' || s % 60 || 's' else s // 3600 || 'h' || s % 3600 // 60 || 'm' end"
+
+
+@query(
+    "display_states",
+    f"""select o_orderkey, {_SPANS} as ago, {_UPTIME} as uptime, case when o_orderkey % 4 = 0 then '\u2014' else printf('%.2f', o_orderkey % 5 / 4.0::double) end as score,
+case when o_orderkey % 3 = 0 then '\u2014' else s || '×' || o_custkey end as size, nullif(trim(case when o_orderkey % 7 = 0 then '   ' else ' ' || o_orderstatus || ' ' end), '') as cleaned from (select *, o_orderkey * 37 % 9000 as s from orders)""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    i, s = F.col("o_orderkey"), F.col("o_orderkey") * 37 % 9000
+    text = F.when(i % 7 == 0, "   ").otherwise(F.concat(F.lit(" "), "o_orderstatus", F.lit(" \0")))
+    return t.table(spark, d, "orders").select(
+        "o_orderkey", C.human_ago(s).alias("ago"), C.uptime(s).alias("uptime"), D.score_text(F.when(i % 4 != 0, i % 5 / 4)).alias("score"), D.dimensions(F.when(i % 3 != 0, s), F.col("o_custkey")).alias("size"), C.clean_text(text).alias("cleaned"),
+    )
+
+
+@query("event_sessions", _POINTS + TIMES.strip() + " select library_id, min(captured_at) as started_at, max(captured_at) as ended_at, count(*) as photo_count from segments group by library_id, segment")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.points(spark, d).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    found = incremental.time_events(rows, f"{int(GAP)} seconds")
+    return found.select("library_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ended_at")), "photo_count")
+
+
+_KINDS = "case o_orderkey % 6 when 0 then 'EXTRACT_METADATA' when 1 then 'COMPUTE_FILE_HASH' when 2 then 'BUILD_CLUSTERS' when 3 then 'BUILD_DUPLICATE_GROUPS' when 4 then 'BUILD_SIMILAR_GROUPS' else 'ANALYZE_QUALITY' end"
+
+
+@query(
+    "job_prerequisites",
+    _JOBS
+    + f""", own as (select j.* exclude (job_type, library_id), o_custkey % 50 as library_id, {_KINDS} as job_type from jobs j join orders on id = o_orderkey),
+needs(job_type, needed) as (values ('BUILD_CLUSTERS', 'EXTRACT_METADATA'), ('BUILD_DUPLICATE_GROUPS', 'COMPUTE_FILE_HASH'), ('BUILD_SIMILAR_GROUPS', 'COMPUTE_FILE_HASH'), ('BUILD_SIMILAR_GROUPS', 'COMPUTE_PERCEPTUAL_HASH'), ('BUILD_SIMILAR_GROUPS', 'ANALYZE_QUALITY')),
+open_ as (select * from own where status in ('pending', 'running'))
+select a.id, needed, count(*) as outstanding from open_ a join needs using (job_type) join open_ b on b.library_id = a.library_id and b.job_type = needed group by a.id, needed""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    kinds = ["EXTRACT_METADATA", "COMPUTE_FILE_HASH", "BUILD_CLUSTERS", "BUILD_DUPLICATE_GROUPS", "BUILD_SIMILAR_GROUPS", "ANALYZE_QUALITY"]
+    rows = t.jobs(spark, d).withColumns({"job_type": F.element_at(F.array(*map(F.lit, kinds)), (i % 6 + 1).cast("int")), "library_id": F.col("target_id") % 50})
+    return ledger.waiting(rows)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from photonlake.config import MAX_FILE_BYTES
 from photonlake.functions.columns import format_of
-from photonlake.schema import ENTRIES
+
+ENTRIES = "library_id string, relative_path string, original_filename string, file_size_bytes bigint, file_modified_at timestamp, outcome string"
 
 
 def resolve_within(root: str, target: str) -> Path:
@@ -97,6 +98,13 @@ def result(entries: DataFrame, known: DataFrame) -> DataFrame:
     return keys.join(old, ["library_id", "relative_path"], "left").agg(F.count(F.lit(1)).alias("discovered"), F.count_if(F.col("old").isNull()).alias("inserted"), F.count("old").alias("already_known"))
 
 
+def vanished(known: DataFrame, entries: DataFrame) -> DataFrame:
+    """(photo_id, last_error): known photos whose file isn't found any more, as :func:`photos.mark_missing` takes them."""
+    there = found(entries).select("library_id", "relative_path")
+    gone = known.where("state <> 'missing'").join(there, ["library_id", "relative_path"], "left_anti")
+    return gone.select("photo_id", F.lit("file not found").alias("last_error"))
+
+
 def register_library(libraries: DataFrame, new: DataFrame) -> DataFrame:
     """``libraries`` with those of ``new`` whose kind and root aren't there yet; an existing one keeps its name.
 

@@ -4,11 +4,14 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from photonlake import graph
 from photonlake.functions import jpeg as encoder
 from photonlake.operators import images
+from photonlake.operators import photos as photo_rows
 from photonlake.plans import pipeline
-from photonlake.sources import scan
+from photonlake.sources import corpus, scan
 from photonlake.sources import thumbnails as stored
 from photonlake.streaming import incremental
 
@@ -207,6 +210,60 @@ def test_samples_lie_between_their_neighbours():
     assert images.sampled(a, 1, 3)[:, 0, 0].tolist() == [127] * 3
 
 
+def test_analysis_finds_what_the_corpus_holds(spark, tmp_path):
+    manifest = corpus.generate(spark, str(tmp_path), width=160, height=120)
+    want = corpus.truth(manifest).first()
+    assert (want["files"], want["supported"], want["duplicate_groups"], want["duplicate_files"], want["near_duplicate_groups"], want["with_gps"]) == (46, 42, 3, 9, 6, 24)
+    entries = scan.walk(spark, str(tmp_path))
+    assert scan.statistics(entries).first()["supported"] == want["supported"]
+    got = pipeline.run(spark, str(tmp_path), entries=entries)
+    rows = {r["relative_path"]: r for r in got.photos.collect()}
+    said = {r["rel_path"]: r for r in manifest.collect() if r["kind"] != "unsupported"}
+    assert set(rows) == set(said) and {p for p, r in rows.items() if r["state"] == "failed"} == {p for p, r in said.items() if r["corrupt_stage"] == "header"}
+    assert {p for p, r in rows.items() if r["phash"] is None} == {p for p, r in said.items() if r["corrupt_stage"]}
+    for p, r in said.items():
+        x = rows[p]
+        if r["corrupt_stage"] != "header":
+            assert (x["width"], x["height"], x["latitude"] is None) == (r["width"], r["height"], r["latitude"] is None), p
+            assert (x["captured_at_source"] == "exif") == (r["captured_at"] is not None) and (r["captured_at"] is None or x["captured_at"] == r["captured_at"]), p
+            assert r["latitude"] is None or abs(x["latitude"] - r["latitude"]) < 1e-6 and abs(x["longitude"] - r["longitude"]) < 1e-6
+        if r["underexposed"] or r["overexposed"]:
+            assert ("possibly_underexposed" if r["underexposed"] else "possibly_overexposed") in x["quality_flags"], p
+    groups = {frozenset(r["p"]) for r in got.duplicate_members.groupBy("sha256").agg(F.collect_list("relative_path").alias("p")).collect()}
+    named = lambda c: {frozenset(p for p, r in said.items() if r[c] == g) for g in {r[c] for r in said.values()} - {None}}
+    assert groups == named("duplicate_group")
+    similar = {frozenset(r["p"]) for r in got.similar_members.groupBy("group_id").agg(F.collect_list("relative_path").alias("p")).collect()}
+    assert similar == named("similar_group")
+    blurry = [rows[p]["sharpness_score"] for p, r in said.items() if r["blurry"]]
+    assert max(blurry) < min(rows[p]["sharpness_score"] for p, r in said.items() if r["duplicate_group"])
+    (tmp_path / "scene000.jpg").unlink()
+    gone = scan.vanished(got.photos, scan.walk(spark, str(tmp_path), "library"))
+    assert [r["photo_id"] for r in gone.collect()] == [rows["scene000.jpg"]["photo_id"]]
+    after = photo_rows.mark_missing(pipeline.marked(got.photos, "2026-01-01 00:00:00"), gone, "2026-01-02 00:00:00").where("state = 'missing'").first()
+    assert (after["relative_path"], after["captured_at"], after["width"], after["last_error"]) == ("scene000.jpg", None, None, "file not found")
+
+
+def test_tables_are_replaced_as_a_whole(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    graph.replace(spark.range(5), path)
+    graph.replace(spark.read.parquet(path).where("id > 2"), path)
+    assert {r["id"] for r in spark.read.parquet(path).collect()} == {3, 4} and [p.name for p in tmp_path.iterdir()] == ["t.parquet"]
+
+
+def test_events_of_a_stream(spark, tmp_path):
+    first = [("a", f"2024-01-01 0{h}:00:00") for h in (0, 4, 8)] + [("a", "2024-01-01 12:00:01"), ("b", "2024-01-01 00:00:00"), (None, None)]
+    rows = spark.createDataFrame(first, "library_id string, t string").select("library_id", F.to_timestamp("t").alias("captured_at"))
+    got = {(r["library_id"], r["photo_count"], str(r["started_at"])[11:]) for r in incremental.time_events(rows).collect()}
+    assert got == {("a", 3, "00:00:00"), ("a", 1, "12:00:01"), ("b", 1, "00:00:00")}
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    late = spark.createDataFrame([("c", "2024-02-01 00:00:00")], "library_id string, t string").select("library_id", F.to_timestamp("t").alias("captured_at"))
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    late.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    q = incremental.time_events(arriving).writeStream.format("memory").queryName("events_closed").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r["library_id"], r["photo_count"]) for r in spark.table("events_closed").collect()} == {("a", 3), ("a", 1), ("b", 1)}
+
+
 def test_arriving_files(spark, folder, tmp_path_factory):
     out = tmp_path_factory.mktemp("stream")
     q = incremental.arriving(spark, str(folder)).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(out)).trigger(availableNow=True).start()
