@@ -8,9 +8,10 @@ little near its root.  A directory that loses no pair stands there instead.  Doc
 of size such that linked ones are in the same or the next class.  If at most D shingles differ between
 linked sets, then of D + 1 + s groups s + 1 at least are equal in both: their contents, hashed, are keys,
 of which linked sets share so many, less those of bare groups.  A set that shares fewer keys with all
-others together is linked with none and leaves; what the keys of the others connect is a region.  Within
-a region, R-trees of points are joined level by level; what their bound connects is a smaller region, to
-which the texts are brought, and the sets of the pairs within the bound are intersected.
+others together is linked with none and leaves.  The others give up their most frequent keys, one less than
+they must share; what the rest connects is a region.  Within a region, R-trees of points are joined level by
+level; what their bound connects is a smaller region, to which the texts are brought, and the sets of the
+pairs within the bound are intersected.
 """
 
 from __future__ import annotations
@@ -116,7 +117,12 @@ def keys_of(found: np.ndarray, level: int, sizes: Sizes) -> np.ndarray:
 
 #: Bits of what goes with a key: the lower of a set's two levels, and how many keys are needed there.
 LOWER, NEED = 1 << 15, (1 << 15) - 1
-MEMBER = (U64, np.uint16)
+#: What goes with the keys of the kinds of tuples that :func:`candidate_edges` exchanges.
+ALONE = (U64, np.uint16)
+IN_PIECE = (U64, U64, np.uint16)
+LEADING = (U64, np.uint16, np.int64, U64)
+COUNTED = (U64, np.int64)
+MEMBER = (U64, np.uint16, np.int64)
 
 
 def _sorted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -141,11 +147,22 @@ def _star(keys: np.ndarray, owners: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([least[~new], owners[~new]], 1), axis=0)
 
 
+def _owners(new: np.ndarray) -> np.ndarray:
+    """For each tuple the number of tuples with its key."""
+    lead = _leaders(new)
+    return np.bincount(lead, minlength=len(new))[lead]
+
+
 def candidate_edges(docs: DataFrame, k: int, percent: int, size: int = 0) -> DataFrame:
     """(u, v): different sets, by hash, that are connected in their region; ``size`` is that of all sets together.
 
-    Sets that share a key among MET keys of a task are found there, and one of them stands for all in the exchange: a
-    key that very many sets have is sent a few times by each task.
+    Of the keys that a set shares with others, as many as it needs less one may go: a set that it is linked with
+    shares one that stays.  Those go that most sets have, in an order that is the same for all, so that of the keys
+    that two linked sets share, the one that fewest sets have stays in both.
+
+    Sets that share a key within a piece, MET keys of a task, are found there, and one of them stands for all in the
+    exchange of keys: a key that very many sets have is sent a few times by each task.  Its number of sets comes
+    back to the piece.
     """
     parts = partitions(docs.sparkSession, 12 * size)
 
@@ -157,9 +174,14 @@ def candidate_edges(docs: DataFrame, k: int, percent: int, size: int = 0) -> Dat
 
         def met() -> Iterator[pa.RecordBatch]:
             (key, owner, mark), new = _sorted(np.concatenate(keys), np.concatenate(owners), np.concatenate(marks))
-            yield deal(key[new], [owner[new], mark[new]], parts)
-            many = np.bincount(_leaders(new), minlength=len(key))[_leaders(new)] > 1
-            yield deal(owner[many], [key[many], mark[many]], parts, kind=1)
+            n = _owners(new)
+            many, alone = n > 1, n == 1
+            yield deal(key[alone], [owner[alone], mark[alone]], parts)
+            if many.any():
+                piece = np.full(len(key), np.sum(mix(key ^ mix(owner))), U64)
+                yield deal(piece[many], [key[many], owner[many], mark[many]], parts, kind=1)
+                lead = many & new
+                yield deal(key[lead], [owner[lead], mark[lead], n[lead], piece[lead]], parts, kind=2)
 
         for batch in batches:
             for chunk in chunks(batch.column("text")):
@@ -182,19 +204,41 @@ def candidate_edges(docs: DataFrame, k: int, percent: int, size: int = 0) -> Dat
 
     @lean
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, owners, marks), known = unpack_kinds(batches, MEMBER, MEMBER)
-        (key, owner, mark), new = _sorted(keys, owners, marks)
-        many = np.bincount(_leaders(new), minlength=len(key))[_leaders(new)] > 1
-        yield deal(np.concatenate([owner[many], known[0]]), [np.concatenate([key[many], known[1]]), np.concatenate([mark[many], known[2]])], parts)
+        alone, known, (lead, owner, mark, n, piece) = unpack_kinds(batches, ALONE, IN_PIECE, LEADING)
+        keys, owners = np.concatenate([alone[0], lead]), np.concatenate([alone[1], owner])
+        marks, counts = np.concatenate([alone[2], mark]), np.concatenate([np.ones(len(alone[0]), np.int64), n])
+        order = np.lexsort((-counts, owners, keys))
+        (key, owner, mark, n), new = _sorted(keys[order], owners[order], marks[order], counts[order])
+        total = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1] if len(key) else n
+        some = total > 1
+        yield deal(owner[some], [key[some], mark[some], total[some]], parts)
+        yield deal(known[0], known[1:], parts, kind=1)
+        if len(lead):
+            at = np.searchsorted(key, lead)  # where its key begins
+            yield deal(piece, [lead, total[at]], parts, kind=2)
+
+    @lean
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, (piece, key, owner, mark), (of, leading, total) = unpack_kinds(batches, MEMBER, IN_PIECE, COUNTED)
+        place = mix(of ^ mix(leading))
+        order = np.argsort(place)
+        if len(place):
+            at = order[np.searchsorted(place[order], mix(piece ^ mix(key)))]
+            known = [np.concatenate(x) for x in zip(known, (owner, key, mark, total[at]), strict=True)]
+        yield deal(known[0], known[1:], parts)
 
     @lean
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         [columns] = unpack_kinds(batches, MEMBER)
-        (owner, key, mark), _ = _sorted(*columns)
-        # Counted on each level of an owner.
+        (owner, key, mark, total), _ = _sorted(*columns)
+        # Counted and put in order on each level of an owner.
         on = owner ^ mix((mark & LOWER).astype(U64))
-        _, place, count = np.unique(on, return_inverse=True, return_counts=True)
-        stay = count[place] >= (mark & NEED)
+        order = np.lexsort((key, -total, on))
+        owner, key, mark, on = owner[order], key[order], mark[order], on[order]
+        new = np.ones(len(on), bool)
+        new[1:] = on[1:] != on[:-1]
+        need = (mark & NEED).astype(np.int64)
+        stay = (_owners(new) >= need) & (np.arange(len(on)) - _leaders(new) >= need - 1)
         (key, owner), new = _sorted(key[stay], owner[stay])
         yield deal(key[new], [owner[new]], parts)
         edges = _star(key, owner, new)
@@ -209,8 +253,10 @@ def candidate_edges(docs: DataFrame, k: int, percent: int, size: int = 0) -> Dat
             part = edges[at : at + STEP]
             yield pa.RecordBatch.from_arrays([pa.array(signed(part[:, 0].copy())), pa.array(signed(part[:, 1].copy()))], names=["u", "v"])
 
-    keys = meeting(docs.select("text").mapInArrow(emit, DEALT), parts).mapInArrow(shared, DEALT)
-    return meeting(meeting(keys, parts).mapInArrow(enough, DEALT), parts).mapInArrow(connect, "u long, v long")
+    rows = docs.select("text").mapInArrow(emit, DEALT)
+    for work in (shared, counted, enough):
+        rows = meeting(rows, parts).mapInArrow(work, DEALT)
+    return meeting(rows, parts).mapInArrow(connect, "u long, v long")
 
 
 IDENTITY = "doc_id long,n_shingles long,h1 long,h2 long,set_class long,point binary"
@@ -557,7 +603,7 @@ def first_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     """The rows of ``docs`` of which no row with a smaller id is linked, at any remove, each once.
 
     Rows with a null id take part: one stays if no row that it is linked with has an id.  Of several rows with
-    the same id and text, one stays.  Rows without words are linked with nothing.  Other columns are passed on.
+    the same id and text, the first by their columns stays.  Rows without words are linked with nothing.  Other columns are passed on.
     """
     row, at, again_id, again_text, gone_id = (unused(name, docs) for name in ("row", "at", "again_id", "again_text", "gone_id"))
     text, own = F.xxhash64(F.col("text")), F.col("doc_id").cast("long")
@@ -569,7 +615,7 @@ def first_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     repeated = sent(repeated.select(F.col("doc_id").alias(again_id)))
     alone = kept.join(repeated, id_ == F.col(again_id), "left_anti")
     orderable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    again = kept.join(repeated, id_ == F.col(again_id), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.xxhash64(*(F.col(f"`{c}`") for c in orderable)).alias(at), id_.alias(again_id), text.alias(again_text))
+    again = kept.join(repeated, id_ == F.col(again_id), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.struct(*(F.col(f"`{c}`") for c in orderable)).alias(at), id_.alias(again_id), text.alias(again_text))
     again = again.groupBy(again_id, again_text).agg(F.min_by(row, at).alias(row)).select(f"{row}.*")
     return alone.unionByName(again)
 
