@@ -29,9 +29,9 @@ FOUND = "id"
 MIN_KNOWN = 3
 MIN_CONFIDENCE = 0.8
 MIN_SELECTIVE = 0.3
-#: Identifier-like: so long, with a digit, of these characters only, without punctuation around.
+#: Identifier-like: so long, with a digit, of these characters only, but for ASCII punctuation around.
 MIN_LENGTH, MAX_LENGTH = 6, 64
-TOKEN = re.compile(rb"[^A-Za-z0-9]*([A-Za-z0-9][A-Za-z0-9_+/=.@%-]*[A-Za-z0-9=])[^A-Za-z0-9]*")
+TOKEN = re.compile(rb"[!-/:-@\[-`{-~]*([A-Za-z0-9][A-Za-z0-9_+/=.@%-]*[A-Za-z0-9=])[!-/:-@\[-`{-~]*")
 #: A seed that is no personal datum by itself: so many hexadecimal digits, letters and digits among them.
 KEY = re.compile(rb"(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})")
 #: Words before and after an instance that make patterns.
