@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +42,26 @@ def cut(df: DataFrame) -> DataFrame:
     memory of the driver.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cut-{spark.sparkContext.applicationId}/{''.join(f'{s}/' for s in _SCOPES)}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the scopes that are open, the outer ones first.
+_SCOPES: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut within the scope are deleted at its end; what is made of them has to be written by then."""
+    _SCOPES.append(f"scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _remove(spark, f"{shared_folder(spark)}/cut-{spark.sparkContext.applicationId}/{'/'.join(_SCOPES)}")
+        _SCOPES.pop()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -198,6 +198,29 @@ def release(jobs: DataFrame, worker: object, now: object) -> DataFrame:
     return _held(jobs, worker).withColumns({"status": F.lit("pending"), **_lease(jobs, None, None), "next_attempt_at": F.lit(now).cast(jobs.schema["next_attempt_at"].dataType)})
 
 
+#: How a run of a job can end, beside being interrupted, which leaves the job to :func:`release`.
+ENDS = ("succeeded", "failed", "permanent", "deferred")
+
+
+def settled(jobs: DataFrame, worker: object, results: DataFrame, now: object) -> DataFrame:
+    """Running jobs that ``worker`` holds, after results (id, ended, error): each goes the way that its end demands.
+
+    A passing failure is tried again after a wait, a permanent one never; a deferral costs no attempt.
+    """
+    held = _held(jobs, worker).join(results.select("id", "ended", "error"), "id")
+    ways = {
+        "succeeded": lambda rows: complete(rows, worker, now),
+        "failed": lambda rows: _returned(rows, F.col("attempt_count") >= F.col("max_attempts"), now, F.col("error")),
+        "permanent": lambda rows: _returned(rows, F.lit(True), now, F.col("error")),
+        "deferred": lambda rows: defer(rows, worker, now, DEFER_SECONDS, "").withColumn("last_error", F.col("error")),
+    }
+    parts = [ways[end](held.where(F.col("ended") == end)).select(*jobs.columns) for end in ENDS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def reap(jobs: DataFrame, now: object, seconds: float = 0) -> DataFrame:
     """Running jobs whose lease ran out before ``now``: dead if out of attempts, else pending after a wait."""
     lost = jobs.where((F.col("status") == "running") & (F.col("lease_expires_at") < F.lit(now)))

@@ -132,6 +132,11 @@ def needing(photos: DataFrame, stage: str) -> DataFrame:
     return photos.where(F.col(marker).isNull() & states)
 
 
+def work_list(photos: DataFrame, stage: str, limit: int = 500) -> DataFrame:
+    """The next photos a stage has still to measure, by id."""
+    return needing(photos, stage).orderBy("photo_id").limit(clamp_limit(limit, 500, 5000))
+
+
 def metadata_summary(photos: DataFrame) -> DataFrame:
     n = lambda c, name: F.count_if(c).alias(name)
     source = F.col("captured_at_source")

@@ -751,3 +751,27 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     kinds = ["EXTRACT_METADATA", "COMPUTE_FILE_HASH", "BUILD_CLUSTERS", "BUILD_DUPLICATE_GROUPS", "BUILD_SIMILAR_GROUPS", "ANALYZE_QUALITY"]
     rows = t.jobs(spark, d).withColumns({"job_type": F.element_at(F.array(*map(F.lit, kinds)), (i % 6 + 1).cast("int")), "library_id": F.col("target_id") % 50})
     return ledger.waiting(rows)
+
+
+_ENDED = "case id % 4 when 0 then 'succeeded' when 1 then 'failed' when 2 then 'permanent' else 'deferred' end"
+_DEAD = f"(ended = 'permanent' or ended = 'failed' and {_OVER})"
+
+
+@query(
+    "job_settled",
+    _JOBS
+    + f""", held as (select *, {_ENDED} as ended, 'error ' || id as error from jobs where {_HELD})
+select id, case when ended = 'succeeded' then ended when {_DEAD} then 'dead' else 'pending' end as status, case when ended = 'deferred' then greatest(attempt_count - 1, 0) else attempt_count end as attempt_count,
+  case when ended = 'deferred' then {_NOW_SQL} + interval 2 second when ended = 'failed' and not ({_OVER}) then {_NOW_SQL} + to_microseconds(({_WAIT} * 1000000)::bigint) else next_attempt_at end as next_attempt_at,
+  case when ended = 'succeeded' or {_DEAD} then {_NOW_SQL} else timestamp '1970-01-01' end as completed_at, case when ended = 'succeeded' then '' else error end as last_error from held""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    jobs = t.jobs(spark, d)
+    ends = F.element_at(F.array(*map(F.lit, ledger.ENDS)), (F.col("id") % 4 + 1).cast("int"))
+    results = jobs.select("id", ends.alias("ended"), F.concat(F.lit("error "), "id").alias("error"))
+    return _job(ledger.settled(jobs, 3, results, _NOW)).drop("leased_by", "lease_expires_at", "started_at")
+
+
+@query("work_list_hash", _photos() + "select photo_id, relative_path from photos where hashed_at is null and state <> 'missing' order by photo_id limit 500")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return search.work_list(t.photos(spark, d), "hash").select("photo_id", "relative_path")

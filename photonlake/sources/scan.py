@@ -68,9 +68,15 @@ def walk(spark: SparkSession, root: str, library_id: str = "", max_bytes: int =
 
 
 def listing(spark: SparkSession, root: str, library_id: str = "", max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """The supported files below a path of any store, listed by the executors without reading contents.
+    """The supported files of :func:`listed`."""
+    return listed(spark, root, library_id, max_bytes).where("outcome = 'file'").drop("outcome")
 
-    Spark leaves out names that begin with a dot or an underscore; ``walk`` sees the latter.
+
+def listed(spark: SparkSession, root: str, library_id: str = "", max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """The files below a path of any store with their outcome, listed by Spark without reading contents.
+
+    :func:`statistics` counts them.  Spark leaves out folders, empty files and names that begin with a dot or an
+    underscore; ``walk`` sees those, one folder after another on the driver.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
@@ -78,7 +84,7 @@ def listing(spark: SparkSession, root: str, library_id: str = "", max_bytes: int
     rows = files.select(
         F.lit(library_id).alias("library_id"), F.expr(f"substring(path, {len(full) + 2})").alias("relative_path"), F.substring_index("path", "/", -1).alias("original_filename"), F.col("length").alias("file_size_bytes"), F.col("modificationTime").alias("file_modified_at"), format_of(F.col("path")).alias("detected_format"), "path"
     )
-    return rows.where(F.col("detected_format").isNotNull() & (F.col("file_size_bytes") <= max_bytes))
+    return rows.withColumn("outcome", F.when(F.col("file_size_bytes") > max_bytes, "too_large").when(F.col("detected_format").isNull(), "unsupported").otherwise("file"))
 
 
 def found(entries: DataFrame) -> DataFrame:

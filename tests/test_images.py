@@ -1,6 +1,7 @@
 """Pixels, headers and whole folders."""
 
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -250,6 +251,17 @@ def test_tables_are_replaced_as_a_whole(spark, tmp_path):
     assert {r["id"] for r in spark.read.parquet(path).collect()} == {3, 4} and [p.name for p in tmp_path.iterdir()] == ["t.parquet"]
 
 
+def test_tables_of_a_scope_are_removed(spark):
+    with graph.scratch(spark):
+        inner = graph.cut(spark.range(3))
+        files = [f.removeprefix("file:").replace("///", "/") for f in inner.inputFiles()]
+        assert inner.count() == 3 and all(Path(f).exists() for f in files)
+    outer = graph.cut(spark.range(2))
+    assert not any(Path(f).exists() for f in files) and outer.count() == 2
+    graph.discard(outer)
+    assert not any(Path(f.removeprefix("file:")).exists() for f in outer.inputFiles())
+
+
 def test_events_of_a_stream(spark, tmp_path):
     first = [("a", f"2024-01-01 0{h}:00:00") for h in (0, 4, 8)] + [("a", "2024-01-01 12:00:01"), ("b", "2024-01-01 00:00:00"), (None, None)]
     rows = spark.createDataFrame(first, "library_id string, t string").select("library_id", F.to_timestamp("t").alias("captured_at"))
