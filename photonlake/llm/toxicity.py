@@ -34,6 +34,8 @@ DIM = 8
 MIN_RATIO = 20.0
 COMMON, COMMON_LEAST = 0.01, 40
 EPOCHS = 24
+#: Vectors that are summed at a time, about.
+GATHERED = 1 << 17
 #: Epochs at which windows of toxic documents are labelled anew.
 RELABEL = (10, 16, 20)
 #: Of a clean document every so-many-th window serves for fitting.
@@ -133,7 +135,8 @@ def _fitted(column: pa.Array, labels: np.ndarray, hold: np.ndarray) -> tuple[np.
     """
     vocabulary: dict[bytes, int] = {}
     piece_words: list[np.ndarray] = []
-    piece_docs: list[int] = []
+    piece_sizes: list[np.ndarray] = []
+    piece_docs: list[np.ndarray] = []
     spread_of: list[np.ndarray] = []
     spread_docs: list[np.ndarray] = []
     lower = lower_table()
@@ -147,19 +150,25 @@ def _fitted(column: pa.Array, labels: np.ndarray, hold: np.ndarray) -> tuple[np.
             own = np.unique(ids)
             spread_of.append(own)
             spread_docs.append(np.full(len(own), chunk.first + i, np.int32))
-            for at in range(0, len(ids), WINDOW):
-                if labels[chunk.first + i] or at % (WINDOW * CLEAN_SHARE) == 0:
-                    piece_words.append(ids[at : at + WINDOW])
-                    piece_docs.append(chunk.first + i)
+            starts = np.arange(0, len(ids), WINDOW if labels[chunk.first + i] else WINDOW * CLEAN_SHARE)
+            sizes = np.minimum(WINDOW, len(ids) - starts)
+            piece, place = spread(sizes)
+            piece_words.append(ids[starts[piece] + place])
+            piece_sizes.append(sizes.astype(np.int32))
+            piece_docs.append(np.full(len(sizes), chunk.first + i, np.int32))
     if not vocabulary:
         return None
     token_docs = (np.concatenate(spread_of), np.concatenate(spread_docs))
-    return _vectors(vocabulary, token_docs, piece_words, np.array(piece_docs, np.int64), labels)
+    what, bounds = _subwords(vocabulary)
+    del vocabulary
+    return _vectors(what, bounds, token_docs, np.concatenate(piece_words), np.concatenate(piece_sizes), np.concatenate(piece_docs), labels)
 
 
-def _vectors(vocabulary: dict[bytes, int], token_docs: tuple[np.ndarray, np.ndarray], pieces: list[np.ndarray], docs: np.ndarray, doc_labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Joint descent (Adam) on n-gram vectors and softmax; returns each bucket's part of the log odds."""
-    what, bounds = _subwords(vocabulary)
+def _vectors(what: np.ndarray, bounds: np.ndarray, token_docs: tuple[np.ndarray, np.ndarray], flat: np.ndarray, sizes: np.ndarray, docs: np.ndarray, doc_labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Joint descent (Adam) on n-gram vectors and softmax; returns each bucket's part of the log odds.
+
+    Word w has the buckets ``what`` [bounds[w], bounds[w + 1]); windows of ``sizes`` words lie end to end in ``flat``.
+    """
     total = np.diff(bounds)
     evidence, telling = _evidence(what, bounds, token_docs, doc_labels)
     doubt = np.add.reduceat(evidence[what], bounds[:-1]) / np.maximum(total, 1)
@@ -167,18 +176,22 @@ def _vectors(vocabulary: dict[bytes, int], token_docs: tuple[np.ndarray, np.ndar
     if not good.any():
         return np.zeros(BUCKETS), 0.0
     word_of = np.repeat(np.arange(len(total), dtype=np.int32), total)[good]
-    used, slot_of = np.unique(what[good], return_inverse=True)
+    kept = what[good]
     del what, good
+    present = np.zeros(BUCKETS, bool)
+    present[kept] = True
+    used = np.flatnonzero(present)
+    slot_of = (np.cumsum(present, dtype=np.int32) - 1)[kept]
+    del kept, present
     share = (1 / np.maximum(total, 1)).astype(np.float32)[:, None]
     by_slot = np.argsort(slot_of, kind="stable")
     slot_first = np.searchsorted(slot_of[by_slot], np.arange(len(used)))
     word_by_slot = word_of[by_slot]
+    word_first = np.flatnonzero(np.concatenate([[True], word_of[1:] != word_of[:-1]]))
     del by_slot
 
-    flat = np.concatenate(pieces)
-    sizes = np.array([len(p) for p in pieces])
     width = sizes[:, None].astype(np.float32)
-    piece = np.repeat(np.arange(len(pieces)), sizes)
+    piece = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     piece_first = np.cumsum(sizes) - sizes
     by_token = np.argsort(flat, kind="stable")
     token = flat[by_token]
@@ -198,9 +211,11 @@ def _vectors(vocabulary: dict[bytes, int], token_docs: tuple[np.ndarray, np.ndar
     vectors = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
     top = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.log(np.array([1 - labels.mean(), labels.mean()]) + 1e-6).astype(np.float32)
+    having, word = word_of[word_first], np.zeros((len(total), DIM), np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, top, bias)]
     for t in range(1, EPOCHS + 1):
-        word = _sums(vectors[slot_of], word_of, len(total)) * share
+        word[having] = _gathered(vectors, slot_of, word_first)
+        word *= share
         mean = np.add.reduceat(word[flat], piece_first) / width
         logits = mean @ top + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
@@ -212,7 +227,7 @@ def _vectors(vocabulary: dict[bytes, int], token_docs: tuple[np.ndarray, np.ndar
         gap = ((p - np.stack([1 - labels, labels], 1)) / len(sizes)).astype(np.float32)
         back = (gap @ top.T) / width
         word_back = _sums(back[piece_by_token], token, len(total)) * share
-        own = [np.add.reduceat(word_back[word_by_slot], slot_first) + 1e-8 * vectors, mean.T @ gap, gap.sum(0)]
+        own = [_gathered(word_back, word_by_slot, slot_first) + 1e-8 * vectors, mean.T @ gap, gap.sum(0)]
         for value, grad, (m, v) in zip((vectors, top, bias), own, state, strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
@@ -227,9 +242,17 @@ def _subwords(vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all words' n-grams, word after word, and where each word's begin, with the end."""
     text = b" ".join(vocabulary)
     buckets, valid, begins, _, _ = grams(Chunk(0, np.frombuffer(text, np.uint8), np.array([0, len(text)])))
-    owner = np.concatenate([(np.searchsorted(begins, np.flatnonzero(good), "right") - 1).astype(np.int32) for good in valid])
-    what = np.concatenate([own[good] for own, good in zip(buckets, valid, strict=True)])
-    return what[np.argsort(owner, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(begins)))])
+    counts = []
+    for good in valid:
+        padded = np.zeros(len(text) + max(GRAMS), np.int32)
+        padded[: len(good)] = good
+        counts.append(np.add.reduceat(padded, begins))
+    bounds = np.concatenate([[0], np.cumsum(sum(counts))])
+    what, at = np.empty(bounds[-1], np.int32), bounds[:-1].copy()
+    for own, good, n in zip(buckets, valid, counts, strict=True):
+        what[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())] = own[good]
+        at += n
+    return what, bounds
 
 
 def _evidence(what: np.ndarray, bounds: np.ndarray, token_docs: tuple[np.ndarray, np.ndarray], doc_labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,6 +270,16 @@ def _evidence(what: np.ndarray, bounds: np.ndarray, token_docs: tuple[np.ndarray
     return np.where(counts[1] > expected[1], ratio, 0).astype(np.float32), (ratio >= MIN_RATIO) | (counts.sum(0) >= max(COMMON * len(seen), COMMON_LEAST))
 
 
+def _gathered(rows: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of rows[at] from each of the places ``first`` to the next, some at a time."""
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(at), GATHERED)), len(first)))
+    ends = np.append(first, len(at))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        out[a:b] = np.add.reduceat(rows[at[first[a] : ends[b]]], first[a:b] - first[a])
+    return out
+
+
 def _sums(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     """Sums of rows by their group, in ascending order; 0 for groups without a row."""
     out = np.zeros((groups, rows.shape[1]), rows.dtype)
