@@ -39,7 +39,7 @@ BEFORE, AFTER = 3, 2
 #: What stands for the instance in a pattern of words after it.
 HERE = "_ "
 #: Patterns whose occurrences are counted in one pass over the texts.
-COUNTED = 1 << 20
+COUNTED = 1 << 18
 EDGES = b"\"'`.,;:!?()[]{}<>"
 KEYED = re.compile(rb"([A-Za-z_]+[=:])(.*)", re.DOTALL)
 
