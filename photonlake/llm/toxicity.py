@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from photonlake.llm.folds import drawn, held_out
 from photonlake.llm.graph import sent
-from photonlake.llm.kernels import Chunk, chunks, is_space, lean, lower_table, schema_of, spread, words
+from photonlake.llm.kernels import Chunk, chunks, lean, lower_table, schema_of, spread, words
 
 #: Learned from about so many documents of each label (all where there are fewer), of any length.
 SAMPLE_PER_LABEL = 1000
