@@ -12,6 +12,7 @@ FORMATS = {".jpg": "jpeg", ".jpeg": "jpeg", ".jpe": "jpeg", ".png": "png", ".web
 MAX_FILE_BYTES = 512 * 1024 * 1024
 EARTH_RADIUS_METRES = 6371008.8
 
+# Default options, and the thresholds of quality scores and flags below.
 DEFAULT_THRESHOLD, MAX_THRESHOLD = 12, 24
 DEFAULT_GAP_SECONDS, DEFAULT_RADIUS_METRES = 4 * 3600, 1500.0
 QUALITY_EPSILON = 0.02

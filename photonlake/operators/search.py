@@ -125,11 +125,23 @@ def keyset(rows: DataFrame, after: object | None, limit: int) -> DataFrame:
     return rows.orderBy("photo_id").limit(clamp_limit(limit, 1000, 10_000))
 
 
-def needing(photos: DataFrame, stage: str) -> DataFrame:
-    """Photos a stage has still to measure."""
+STAGES = ("metadata", "hash", "phash", "quality", "thumbnail")
+
+
+def _needs(stage: str) -> Column:
     marker = {"metadata": "metadata_extracted_at", "hash": "hashed_at", "phash": "phashed_at", "quality": "quality_analyzed_at", "thumbnail": "thumbnailed_at"}[stage]
     states = {"metadata": F.lit(True), "hash": F.col("state") != "missing"}.get(stage, ~F.col("state").isin("missing", "failed"))
-    return photos.where(F.col(marker).isNull() & states)
+    return F.col(marker).isNull() & states
+
+
+def needing(photos: DataFrame, stage: str) -> DataFrame:
+    """Photos a stage has still to measure."""
+    return photos.where(_needs(stage))
+
+
+def needing_counts(photos: DataFrame) -> DataFrame:
+    """One row: all photos, and how many each stage has still to measure, in one pass."""
+    return photos.agg(F.count(F.lit(1)).alias("photos"), *(F.count_if(_needs(stage)).alias(stage) for stage in STAGES))
 
 
 def work_list(photos: DataFrame, stage: str, limit: int = 500) -> DataFrame:

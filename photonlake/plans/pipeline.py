@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.graph import cut
+from photonlake.graph import cut, replace
 from photonlake.operators import duplicates, events, images, search, similar
 from photonlake.sources import scan
 
@@ -73,6 +73,12 @@ def run(spark: SparkSession, root: str, library_id: str = "library", threshold:
     return Analysis(rows, dup, duplicates.members(rows, dup), sim, sim_members, events.clusters(placed, gap_seconds, radius_metres), placed)
 
 
+def store(a: Analysis, folder: str) -> None:
+    """Write all tables of an analysis below a folder, each in place of an older one as a whole."""
+    for name, table in a._asdict().items():
+        replace(table, f"{folder.rstrip('/')}/{name}.parquet")
+
+
 def overview(a: Analysis) -> dict[str, DataFrame]:
     """The five summaries of a library."""
     return {

@@ -775,3 +775,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("work_list_hash", _photos() + "select photo_id, relative_path from photos where hashed_at is null and state <> 'missing' order by photo_id limit 500")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return search.work_list(t.photos(spark, d), "hash").select("photo_id", "relative_path")
+
+
+@query("needs_counts", _photos() + "select count(*) as photos, " + ", ".join(f"count(*) filter ({needs}) as {stage}" for stage, needs in zip(search.STAGES, _NEEDS.values(), strict=True)) + " from photos")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return search.needing_counts(t.photos(spark, d))

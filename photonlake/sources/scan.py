@@ -160,5 +160,6 @@ def content_features(files: DataFrame) -> DataFrame:
     """(path, sha256, short, file_size_bytes, note) of rows (path, content, length): the hash of each file, and whether its size changed."""
     size = F.octet_length("content").cast("long")
     sha = F.sha2("content", 256)
+    # Fixed texts around the two sizes.
     note = F.when((F.col("length") > 0) & (F.col("length") != size), F.concat(F.lit("file size changed since scan: "), F.col("length"), F.lit(" -> "), size, F.lit(" bytes")))
     return files.select("path", sha.alias("sha256"), F.left(sha, F.lit(12)).alias("short"), size.alias("file_size_bytes"), note.alias("note"))

@@ -237,6 +237,10 @@ def test_analysis_finds_what_the_corpus_holds(spark, tmp_path):
     assert similar == named("similar_group")
     blurry = [rows[p]["sharpness_score"] for p, r in said.items() if r["blurry"]]
     assert max(blurry) < min(rows[p]["sharpness_score"] for p, r in said.items() if r["duplicate_group"])
+    for _ in range(2):
+        pipeline.store(got, str(tmp_path / ".tables"))
+    kept = {n: spark.read.parquet(str(tmp_path / ".tables" / f"{n}.parquet")).count() for n in got._fields}
+    assert kept == {n: t.count() for n, t in got._asdict().items()} and kept["photos"] == 42
     (tmp_path / "scene000.jpg").unlink()
     gone = scan.vanished(got.photos, scan.walk(spark, str(tmp_path), "library"))
     assert [r["photo_id"] for r in gone.collect()] == [rows["scene000.jpg"]["photo_id"]]
