@@ -72,6 +72,11 @@ def parse(params: dict[str, str]) -> Query:
     )
 
 
+def _time(value: datetime) -> Column:
+    """A moment, or a time without a zone where the value has none."""
+    return F.lit(value) if value.tzinfo else F.to_timestamp_ntz(F.lit(value.isoformat(sep=" ")))
+
+
 def predicate(q: Query) -> Column:
     """The conditions on a photo's own columns, shared by page and total."""
     c = F.lit(True)
@@ -82,9 +87,9 @@ def predicate(q: Query) -> Column:
     if q.flag is not None:
         c &= F.array_contains("quality_flags", q.flag)
     if q.taken_from is not None:
-        c &= F.col("captured_at") >= F.lit(q.taken_from)
+        c &= F.col("captured_at") >= _time(q.taken_from)
     if q.taken_to is not None:
-        c &= F.col("captured_at") <= F.lit(q.taken_to)
+        c &= F.col("captured_at") <= _time(q.taken_to)
     if q.text is not None:
         c &= F.col("relative_path").ilike(f"%{escape_like(q.text)}%")
     if q.has_gps is not None:

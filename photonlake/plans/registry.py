@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.functions import columns as C
@@ -361,6 +361,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ledger.deferrals(t.jobs(spark, d), t.executions(spark, d))
 
 
+def _now() -> Column:
+    """A time without a zone, as the tables have them."""
+    return F.to_timestamp_ntz(F.lit("1996-01-01 00:00:00"))
+
+
 _WORK = _JOBS + ",\n" + t.WORKERS_SQL.strip()
 HELD = "(select count(*) from jobs where status = 'running' and leased_by = worker_id)"
 
@@ -382,12 +387,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("worker_reap", _WORK + " select worker_id, case when status = 'active' and last_heartbeat_at < timestamp '1995-12-31 23:59:45' then 'dead' else status end as status, case when status = 'active' and last_heartbeat_at < timestamp '1995-12-31 23:59:45' then timestamp '1996-01-01' else stopped_at end as stopped_at from workers")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return workers.reap(t.workers(spark, d), datetime(1996, 1, 1)).select("worker_id", "status", "stopped_at")
+    return workers.reap(t.workers(spark, d), _now()).select("worker_id", "status", "stopped_at")
 
 
 @query("worker_purge", _WORK + f" select worker_id, status from workers where not (status in ('stopped', 'dead') and stopped_at < timestamp '1995-12-31 23:59:40' and {HELD} = 0)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return workers.purge(t.workers(spark, d), t.jobs(spark, d), datetime(1996, 1, 1), 20).select("worker_id", "status")
+    return workers.purge(t.workers(spark, d), t.jobs(spark, d), _now(), 20).select("worker_id", "status")
 
 
 @query("worker_victim", _WORK + " select worker_id, hostname, count(*) as running from jobs join workers on worker_id = leased_by where jobs.status = 'running' group by worker_id, hostname order by running desc, worker_id limit 1")
@@ -424,13 +429,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ledger.enqueue(t.jobs(spark, d), wanted)
 
 
-_NOW, _NOW_SQL = datetime(1996, 1, 1), "timestamp '1996-01-01'"
+_NOW_SQL = "timestamp '1996-01-01'"
+
+
 _HELD = "status = 'running' and leased_by = 3"
 _WAIT = "least(300.0::double, 2 * pow(2, greatest(attempt_count, 1) - 1))"
 
 
-_UNSET = {"leased_by": -1, "lease_expires_at": datetime(1970, 1, 1), "started_at": datetime(1970, 1, 1), "completed_at": datetime(1970, 1, 1), "last_error": ""}
-_UNSET_SQL = {c: repr(v) if isinstance(v, str) else "-1" if v == -1 else "timestamp '1970-01-01'" for c, v in _UNSET.items()}
+_UNSET = {"leased_by": -1, "lease_expires_at": "1970-01-01 00:00:00", "started_at": "1970-01-01 00:00:00", "completed_at": "1970-01-01 00:00:00", "last_error": ""}
+_UNSET_SQL = {c: f"timestamp '{v}'" if c.endswith("_at") else repr(v) for c, v in _UNSET.items()}
 
 
 def _job(rows: DataFrame) -> DataFrame:
@@ -450,12 +457,12 @@ _OVER = "attempt_count >= max_attempts"
 
 @query("job_claim_topk", _changed(f"status = 'pending' and next_attempt_at <= {_NOW_SQL}", "order by priority, id limit 25", status="'running'", leased_by="3::bigint", lease_expires_at=f"{_NOW_SQL} + interval 60 second", attempt_count="attempt_count + 1", started_at=f"coalesce(started_at, {_NOW_SQL})"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _job(ledger.claim(t.jobs(spark, d), 3, 25, _NOW))
+    return _job(ledger.claim(t.jobs(spark, d), 3, 25, _now()))
 
 
 @query("job_complete_transition", _changed(_HELD, status="'succeeded'", **_FREE, completed_at=_NOW_SQL, last_error="null::varchar"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _job(ledger.complete(t.jobs(spark, d), 3, _NOW))
+    return _job(ledger.complete(t.jobs(spark, d), 3, _now()))
 
 
 _RETRY = f"case when {_OVER} then next_attempt_at else {_NOW_SQL} + to_microseconds(({_WAIT} * 1000000)::bigint) end"
@@ -463,27 +470,27 @@ _RETRY = f"case when {_OVER} then next_attempt_at else {_NOW_SQL} + to_microseco
 
 @query("job_fail_transition", _changed(_HELD, status=f"case when {_OVER} then 'dead' else 'pending' end", **_FREE, next_attempt_at=_RETRY, completed_at=f"case when {_OVER} then {_NOW_SQL} end", last_error="'broken'"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _job(ledger.fail(t.jobs(spark, d), 3, _NOW, "broken"))
+    return _job(ledger.fail(t.jobs(spark, d), 3, _now(), "broken"))
 
 
 @query("job_fail_permanently", _changed(_HELD, status="'dead'", **_FREE, completed_at=_NOW_SQL, last_error="'not an image'"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _job(ledger.fail(t.jobs(spark, d), 3, _NOW, "not an image", permanent=True))
+    return _job(ledger.fail(t.jobs(spark, d), 3, _now(), "not an image", permanent=True))
 
 
 @query("job_defer_transition", _changed(_HELD, status="'pending'", **_FREE, attempt_count="greatest(attempt_count - 1, 0)", next_attempt_at=f"{_NOW_SQL} + interval 2 second", last_error="'hashing first'"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _job(ledger.defer(t.jobs(spark, d), 3, _NOW, 2, "hashing first"))
+    return _job(ledger.defer(t.jobs(spark, d), 3, _now(), 2, "hashing first"))
 
 
 @query("job_renew_leases", _changed(_HELD, lease_expires_at=f"{_NOW_SQL} + interval 60 second"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _job(ledger.renew(t.jobs(spark, d), 3, _NOW))
+    return _job(ledger.renew(t.jobs(spark, d), 3, _now()))
 
 
 @query("job_release_leases", _changed(_HELD, status="'pending'", **_FREE, next_attempt_at=_NOW_SQL))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _job(ledger.release(t.jobs(spark, d), 3, _NOW))
+    return _job(ledger.release(t.jobs(spark, d), 3, _now()))
 
 
 _LOST = f"status = 'running' and lease_expires_at < {_NOW_SQL}"
@@ -494,24 +501,24 @@ _LOST = f"status = 'running' and lease_expires_at < {_NOW_SQL}"
     _changed(_LOST, status=f"case when {_OVER} then 'dead' else 'pending' end", **_FREE, next_attempt_at=f"case when {_OVER} then next_attempt_at else {_NOW_SQL} + interval 2 second end", completed_at=f"case when {_OVER} then {_NOW_SQL} end", last_error="'lease expired: worker stopped responding (attempt ' || attempt_count || ' of ' || max_attempts || ')'"),
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _job(ledger.reap(t.jobs(spark, d), _NOW, 2))
+    return _job(ledger.reap(t.jobs(spark, d), _now(), 2))
 
 
 @query("job_reap_counts", _JOBS + f" select count(*) filter (not ({_OVER})) as requeued, count(*) filter ({_OVER}) as died from jobs where {_LOST}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.reaped_counts(ledger.reap(t.jobs(spark, d), _NOW))
+    return ledger.reaped_counts(ledger.reap(t.jobs(spark, d), _now()))
 
 
 @query("job_reap_executions", _BOTH + f" select job_id, attempt, {_NOW_SQL} as finished_at, 'abandoned' as outcome, 'lease expired' as error from executions where finished_at is null and job_id in (select id from jobs where {_LOST})")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    closed = ledger.reaped_executions(t.executions(spark, d), ledger.reap(t.jobs(spark, d), _NOW), _NOW)
+    closed = ledger.reaped_executions(t.executions(spark, d), ledger.reap(t.jobs(spark, d), _now()), _now())
     return closed.select("job_id", "attempt", "finished_at", "outcome", "error")
 
 
 @query("job_ledger_after_claim", _JOBS + f", chosen as (select id from jobs where status = 'pending' and next_attempt_at <= {_NOW_SQL} order by priority, id limit 25) select status, count(*) as n, sum(attempt_count)::bigint as attempts from (select case when id in (from chosen) then 'running' else status end as status, attempt_count + (id in (from chosen))::int as attempt_count from jobs) group by status")
 def _(spark: SparkSession, d: str) -> DataFrame:
     jobs = t.jobs(spark, d)
-    return ledger.applied(jobs, ledger.claim(jobs, 3, 25, _NOW)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("attempt_count").alias("attempts"))
+    return ledger.applied(jobs, ledger.claim(jobs, 3, 25, _now())).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("attempt_count").alias("attempts"))
 
 
 _NEEDS = {"EXTRACT_METADATA": "metadata_extracted_at is null", "COMPUTE_FILE_HASH": "hashed_at is null and state <> 'missing'", "COMPUTE_PERCEPTUAL_HASH": "phashed_at is null and state not in ('missing', 'failed')", "ANALYZE_QUALITY": "quality_analyzed_at is null and state not in ('missing', 'failed')", "GENERATE_THUMBNAIL": "thumbnailed_at is null and state not in ('missing', 'failed')"}
@@ -584,9 +591,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     for c in ("raw_laplacian_variance", "mean_luminance", "shadow_clipping", "highlight_clipping"):
         p = p.withColumn(c, F.lit(None).cast("double"))
     some = p.where("photo_id % 3 = 0").select("photo_id", F.lit("bad pixels").alias("last_error"))
-    p = shown.set_hash(p, some.select("photo_id", F.lit("abc").alias("sha256"), F.lit(None).cast("string").alias("last_error")), _NOW)
-    p = shown.mark_failed(shown.mark_failed(p, "quality", some, _NOW), "phash", some, _NOW)
-    p = shown.set_thumbnail(p, some.select("photo_id", F.lit(200).alias("thumbnail_width"), F.lit(100).alias("thumbnail_height"), F.lit(9).alias("thumbnail_bytes")), _NOW)
+    p = shown.set_hash(p, some.select("photo_id", F.lit("abc").alias("sha256"), F.lit(None).cast("string").alias("last_error")), _now())
+    p = shown.mark_failed(shown.mark_failed(p, "quality", some, _now()), "phash", some, _now())
+    p = shown.set_thumbnail(p, some.select("photo_id", F.lit(200).alias("thumbnail_width"), F.lit(100).alias("thumbnail_height"), F.lit(9).alias("thumbnail_bytes")), _now())
     digits = F.when(F.col("phash") < 0, F.col("phash").cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.col("phash").cast("decimal(20,0)"))
     return p.select("photo_id", "sha256", digits.cast("string").alias("phash"), F.coalesce("thumbnail_width", F.lit(-1)).alias("thumbnail_width"), "quality_score", "last_error", "hashed_at", "phashed_at")
 
@@ -769,7 +776,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     jobs = t.jobs(spark, d)
     ends = F.element_at(F.array(*map(F.lit, ledger.ENDS)), (F.col("id") % 4 + 1).cast("int"))
     results = jobs.select("id", ends.alias("ended"), F.concat(F.lit("error "), "id").alias("error"))
-    return _job(ledger.settled(jobs, 3, results, _NOW)).drop("leased_by", "lease_expires_at", "started_at")
+    return _job(ledger.settled(jobs, 3, results, _now())).drop("leased_by", "lease_expires_at", "started_at")
 
 
 @query("work_list_hash", _photos() + "select photo_id, relative_path from photos where hashed_at is null and state <> 'missing' order by photo_id limit 500")

@@ -155,10 +155,10 @@ executions as (
 def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """suppliers as workers, each seen a few seconds before 1996 began; more than hold jobs."""
     i = F.col("s_suppkey")
-    seen = F.timestamp_micros(F.lit(820454400_000_000) - i * 37 % 50 * 1_000_000)
+    seen = F.expr("timestamp_ntz'1996-01-01 00:00:00'") - F.make_dt_interval(secs=(i * 37 % 50).cast("decimal(18,6)"))
     status = F.when(i % 7 == 0, "dead").when(i % 5 == 0, "stopped").otherwise("active")
     return table(spark, sf_dir, "supplier").select(
-        (i - 1).cast("long").alias("worker_id"), F.col("s_name").alias("hostname"), (1 + i % 4).cast("int").alias("slots"), status.alias("status"), F.timestamp_micros(F.lit(820450800_000_000)).alias("started_at"), seen.alias("last_heartbeat_at"), F.when(status != "active", seen).alias("stopped_at")
+        (i - 1).cast("long").alias("worker_id"), F.col("s_name").alias("hostname"), (1 + i % 4).cast("int").alias("slots"), status.alias("status"), F.expr("timestamp_ntz'1995-12-31 23:00:00'").alias("started_at"), seen.alias("last_heartbeat_at"), F.when(status != "active", seen).alias("stopped_at")
     )
 
 
