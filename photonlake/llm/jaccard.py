@@ -147,6 +147,24 @@ def _star(keys: np.ndarray, owners: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([least[~new], owners[~new]], 1), axis=0)
 
 
+def _forest(edges: np.ndarray) -> np.ndarray:
+    """Edges that connect what ``edges`` connect: from the least end of each component to its others, each once.
+
+    Each round hooks roots onto their least neighbours, so two rounds halve them, as in :func:`photonlake.graph.connected`.
+    """
+    ids, ends = np.unique(edges, return_inverse=True)
+    a, b = ends.reshape(edges.shape).T
+    root = np.arange(len(ids))
+    while len(a):
+        np.minimum.at(root, np.concatenate([a, b]), np.concatenate([b, a]))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    below = root != np.arange(len(ids))
+    return np.stack([ids[root[below]], ids[below]], 1)
+
+
 def _owners(new: np.ndarray) -> np.ndarray:
     """For each tuple the number of tuples with its key."""
     lead = _leaders(new)
@@ -163,6 +181,10 @@ def candidate_edges(docs: DataFrame, k: int, percent: int, size: int = 0) -> Dat
     Sets that share a key within a piece, MET keys of a task, are found there, and one of them stands for all in the
     exchange of keys: a key that very many sets have is sent a few times by each task.  Its number of sets comes
     back to the piece.
+
+    Two sets of a region meet at many keys, in as many partitions.  Each partition of keys keeps a forest of its
+    edges, and these meet by their greater ends and leave forests again, so that there are no more rows than
+    different pairs in those forests, whatever the number of partitions in which a pair meets.
     """
     parts = partitions(docs.sparkSession, 12 * size)
 
@@ -248,15 +270,21 @@ def candidate_edges(docs: DataFrame, k: int, percent: int, size: int = 0) -> Dat
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (keys, owners), known = unpack_kinds(batches, (U64,), (U64,))
         (key, owner), new = _sorted(keys, owners)
-        edges = np.unique(np.concatenate([_star(key, owner, new), np.stack(known, 1)]), axis=0)
+        edges = _forest(np.concatenate([_star(key, owner, new), np.stack(known, 1)]))
+        yield deal(edges[:, 1].copy(), [edges[:, 0].copy()], parts)
+
+    @lean
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        [(node, least)] = unpack_kinds(batches, (U64,))
+        edges = _forest(np.stack([least, node], 1))
         for at in range(0, len(edges), STEP):
             part = edges[at : at + STEP]
             yield pa.RecordBatch.from_arrays([pa.array(signed(part[:, 0].copy())), pa.array(signed(part[:, 1].copy()))], names=["u", "v"])
 
     rows = docs.select("text").mapInArrow(emit, DEALT)
-    for work in (shared, counted, enough):
+    for work in (shared, counted, enough, connect):
         rows = meeting(rows, parts).mapInArrow(work, DEALT)
-    return meeting(rows, parts).mapInArrow(connect, "u long, v long")
+    return meeting(rows, parts).mapInArrow(once, "u long, v long")
 
 
 IDENTITY = "doc_id long,n_shingles long,h1 long,h2 long,set_class long,point binary"

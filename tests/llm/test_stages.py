@@ -87,6 +87,45 @@ def test_documents_that_share_a_passage_are_no_region(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_components(docs, 5, 80).collect()), key=str) == brute_components([(r[0], r[1]) for r in rows], 5, 80)
 
 
+def test_edges_of_regions_grow_with_sets_not_with_partitions(spark):
+    """Near copies meet at many keys: their edges are few rows, also where the keys fall into many partitions."""
+    rng = random.Random(21)
+    rows = []
+    for group in range(6):
+        own = [f"g{group}x{i}" for i in range(240)]
+        for d in range(40):
+            text = list(own)
+            for _ in range(2):
+                text[rng.randrange(240)] = f"d{group}x{d}x{rng.randrange(10**6)}"
+            rows.append((100 * group + d, " ".join(text), "en", "s", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            edges = [(r["u"], r["v"]) for r in jaccard.candidate_edges(docs, 5, 80).collect()]
+            assert len({x for e in edges for x in e}) == 240 and len(edges) <= 2 * 240
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_components(docs, 5, 80).collect()), key=str) == brute_components([(r[0], r[1]) for r in rows], 5, 80)
+
+
+def test_a_forest_connects_what_its_edges_connect():
+    rng = np.random.default_rng(17)
+    for nodes, n in ((1, 0), (2, 1), (50, 30), (400, 350), (300, 3000)):
+        names = rng.integers(0, 1 << 63, nodes).astype(np.uint64) * np.uint64(2)
+        chain = rng.permutation(nodes)
+        for edges in (names[rng.integers(0, nodes, (n, 2))], names[np.stack([chain[:-1], chain[1:]], 1)]):
+            least = {int(x): int(x) for x in edges.ravel()}
+            while True:
+                now = dict(least)
+                for a, b in edges.tolist():
+                    least[a] = least[b] = min(least[a], least[b])
+                if now == least:
+                    break
+            assert sorted(map(tuple, jaccard._forest(edges).tolist())) == sorted((r, x) for x, r in least.items() if r != x)
+
+
 def test_trees_join_all_near_points_and_prune():
     rng = np.random.default_rng(4)
     centres = rng.integers(0, 9, (40, 64))
